@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries: each has QUERIES and SQL.
-MODULES = ("q_rules",)
+MODULES = ("q_rules", "q_licenses", "q_secrets")
 
 
 def _gather(name: str) -> dict:
