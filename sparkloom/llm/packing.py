@@ -36,7 +36,7 @@ BLOCK = 1 << 21
 STEP = 8 * 4096
 LEAST_TAIL = 64
 #: Encoded words kept by a Python worker, characters encoded at once.
-CACHE = 200_000
+CACHE = 400_000
 CHARS = 1 << 20
 END = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
