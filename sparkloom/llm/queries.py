@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries: each has QUERIES and SQL.
-MODULES = ("q_pieces", "q_rules", "q_licenses", "q_secrets", "q_urls", "q_top_k", "q_languages", "q_near", "q_packing")
+MODULES = ("q_pieces", "q_rules", "q_licenses", "q_quality", "q_secrets", "q_urls", "q_top_k", "q_languages", "q_near", "q_packing")
 
 
 def _gather(name: str) -> dict:
