@@ -22,6 +22,16 @@ def uncarry(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Carried rows that meet ``condition``, uncarried.
+
+    The partition id, which is not deterministic to the optimizer, keeps the filter
+    above the projections it reads: pushed below them it would repeat their
+    expressions over and over.
+    """
+    return uncarry(df.withColumn("__part", F.spark_partition_id()).where(condition & (F.col("__part") >= 0)))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._rows import carry, held_out, uncarry
+from sparkloom.llm._rows import carry, held_out, keep_where
 
 #: Hash buckets at most, n-gram orders, texts to learn from per language, bytes of matrix at most.
 BUCKETS = 1 << 14
@@ -164,4 +164,4 @@ def language_filter(df: DataFrame, model: Model | None = None, text_col: str = "
     """The rows whose language is known with a posterior of ``least`` or more."""
     model = model or train(df, text_col, lang_col, id_col)
     scored = _scored(carry(df, __text=F.col(text_col)), model)
-    return uncarry(scored.where((F.col("__lang.lang_pred") != UNKNOWN) & (F.col("__lang.score") >= least)))
+    return keep_where(scored, (F.col("__lang.lang_pred") != UNKNOWN) & (F.col("__lang.score") >= least))

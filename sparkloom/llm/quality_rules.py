@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._rows import carry, uncarry
+from sparkloom.llm._rows import carry, keep_where
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Everything but the counted symbols and exclamation marks.
@@ -149,4 +149,4 @@ def quality_rules(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def quality_filter(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
-    return uncarry(measure(df, text_col, id_col, rules).where("kept"))
+    return keep_where(measure(df, text_col, id_col, rules), F.col("kept"))
