@@ -22,14 +22,20 @@ def uncarry(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
 
 
-def keep_where(df: DataFrame, condition: Column) -> DataFrame:
-    """Carried rows that meet ``condition``, uncarried.
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows; filters on them stay above the projections they read.
 
-    The partition id, which is not deterministic to the optimizer, keeps the filter
-    above the projections it reads: pushed below them it would repeat their
-    expressions over and over.
+    Pushed below, a filter would repeat their expressions over and over.  The
+    partition id is not deterministic to the optimizer, so it moves nothing past it.
     """
-    return uncarry(df.withColumn("__part", F.spark_partition_id()).where(condition & (F.col("__part") >= 0)))
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+    return df.select(F.when(F.spark_partition_id() >= 0, row).alias("__fence")).select("__fence.*")
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Carried rows that meet ``condition``, uncarried."""
+    kept = df.select(ROW, condition.alias("__keep"))
+    return uncarry(fenced(kept).where("__keep"))
 
 
 def held_out(doc_id: Column) -> Column:

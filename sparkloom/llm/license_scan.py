@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._rows import carry
+from sparkloom.llm._rows import carry, fenced
 
 #: Separators of words once A-Z are in lower case: all ASCII but digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -142,7 +142,7 @@ def license_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     out = scan(df, text_col, id_col, templates)
     out = out.withColumn("__base", F.filter(m, lambda x: x["base"])).withColumn("__at", F.transform("__base", lambda x: x["at"]))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda x: x["label"]))), ",")
-    return out.select(
+    found = out.select(
         id_col,
         "n_words",
         F.size("__base").cast("long").alias("n_base"),
@@ -152,3 +152,4 @@ def license_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         joined(m).alias("labels"),
         F.coalesce(F.array_max(F.transform(m, lambda x: x["coverage"])), F.lit(0.0)).alias("score"),
     )
+    return fenced(found)

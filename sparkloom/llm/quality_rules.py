@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._rows import carry, keep_where
+from sparkloom.llm._rows import carry, fenced, keep_where
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Everything but the counted symbols and exclamation marks.
@@ -110,7 +110,7 @@ def measure(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules
     lines, n = F.col("__lines"), F.greatest(F.col("n_words"), F.lit(1))
     out = out.withColumns(
         {
-            "word_chars": F.greatest(F.length("__joined") - F.col("n_words") + 1, F.lit(0)).cast("long"),
+            "word_chars": F.when(F.col("n_words") > 0, F.length("__joined") - F.col("n_words") + 1).otherwise(0).cast("long"),
             "n_symbols": F.length(F.translate("__marks", "!", "")).cast("long"),
             "n_bangs": (F.length("__marks") - F.length(F.translate("__marks", "!", ""))).cast("long"),
             "n_lines": F.size(lines).cast("long"),
@@ -139,12 +139,13 @@ def measure(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules
 
 def quality_rules(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per input row: id, counts, broken rules (comma-joined) and ``kept``."""
-    return measure(df, text_col, id_col, rules).select(
+    out = measure(df, text_col, id_col, rules).select(
         F.col("__id").alias(id_col),
         *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"),
         *("n_stop_words", "n_bangs", "n_lines"),
         F.array_join("broken", ",").alias("broken_rules"),
     )
+    return fenced(out)
 
 
 def quality_filter(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: Sequence[Rule] = RULES) -> DataFrame:

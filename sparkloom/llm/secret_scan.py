@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._rows import carry, uncarry
+from sparkloom.llm._rows import carry, fenced, uncarry
 
 #: Code points on either side of a weak part within which a complement counts.
 SCOPE = 200
@@ -166,12 +166,13 @@ def secret_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     """One row per input row: counts of the strong kinds, their digest and all spans."""
     count = lambda i: F.size(F.filter("__base", lambda p: p["kind"] == i)).cast("long")
     names = [k.name for k in KINDS if k.strong]
-    return find(df, text_col, scope).select(
+    found = find(df, text_col, scope).select(
         F.col(f"__row.`{id_col}`").alias(id_col),
         *[count(i).alias(f"n_{name}") for i, name in enumerate(names)],
         F.sha2(_told(F.col("__base")), 256).alias("base_sha256"),
         _told(F.col("__spans")).alias("spans"),
     )
+    return fenced(found)
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", scope: int = SCOPE) -> DataFrame:
