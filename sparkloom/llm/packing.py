@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ BLOCK = 1 << 21
 STEP = 8 * 4096
 LEAST_TAIL = 64
 #: Encoded words kept by a Python worker, characters encoded at once.
-CACHE = 400_000
+CACHE = 1_000_000
 CHARS = 1 << 20
 END = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
@@ -51,6 +52,7 @@ class WordEncoder:
 
     #: White space to Python but not to the tokenizer: such texts are encoded whole.
     ODD = re.compile("[\x1c-\x1f]")
+    SHAPE = re.compile("([a-zß-öø-ÿ]+)([.,;:!?*$#%&|)]*)")
 
     def __init__(self, path: str | None) -> None:
         import os
@@ -64,10 +66,37 @@ class WordEncoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(str(path))
         self.known: dict[str, bytes] = {}
+        self.zero = self._ids("0")[-1]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Make words known: the common shape is letters, then marks, which the tokenizer splits and encodes apart."""
+        shapes = [self.SHAPE.fullmatch(w.lower()) for w in words]
+        parts = dict.fromkeys(p for w, m in zip(words, shapes, strict=True) for p in (m.groups() if m else (w,)) if p)
+        fresh = [p for p in parts if p not in self.known]
+        for i in range(0, len(fresh), 2_000):
+            self._fresh(fresh[i : i + 2_000])
+        for w, m in zip(words, shapes, strict=True):
+            if m:
+                letters, marks = m.groups()
+                self.known[w] = self.known[letters] + self.known[marks] if marks else self.known[letters]
 
     def _fresh(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+        """Encode words, many at once: a zero between them marks where each ends.
+
+        The zero's id comes from that digit alone; words that hold one are encoded by themselves.
+        """
+        plain = [w for w in words if "0" not in w]
+        ids = self._ids(" 0 ".join(plain))
+        cuts = np.flatnonzero(ids == self.zero)
+        if len(plain) and len(cuts) == len(plain) - 1:
+            data, bounds = ids.tobytes(), (4 * np.concatenate(([-1], cuts, [len(ids)]))).tolist()
+            self.known |= zip(plain, [data[x + 4 : y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], strict=True)
+            words = [w for w in words if "0" in w]
+        for w in words:
+            self.known[w] = self._ids(w).tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         split = [None if self.ODD.search(t) else t.split() for t in texts]
@@ -75,10 +104,14 @@ class WordEncoder:
         if len(self.known) + len(fresh) > CACHE:
             self.known.clear()
             fresh = list(dict.fromkeys(w for words in split if words for w in words))
-        for i in range(0, len(fresh), 10_000):
-            self._fresh(fresh[i : i + 10_000])
-        whole = lambda t: np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) if words is not None else whole(t) for t, words in zip(texts, split, strict=True)]
+        self._learn(fresh)
+        return [b"".join(map(self.known.__getitem__, words)) if words is not None else self._ids(t).tobytes() for t, words in zip(texts, split, strict=True)]
+
+
+@cache
+def encoder(path: str | None) -> WordEncoder:
+    """One per worker process: tasks that follow in it find its words known."""
+    return WordEncoder(path)
 
 
 @dataclass
@@ -203,12 +236,12 @@ def pack_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = WordEncoder(tokenizer), Packer(TaskContext.get().partitionId(), tiers)
+        words, packer = encoder(tokenizer), Packer(TaskContext.get().partitionId(), tiers)
         gathered, end = 0, np.asarray([END], "<u4").tobytes()
 
         def add(ids: list[int | None], texts: list[str]) -> int:
             n = 0
-            for doc_id, data in zip(ids, encoder.encode(texts), strict=True):
+            for doc_id, data in zip(ids, words.encode(texts), strict=True):
                 packer.add(doc_id, data + end)
                 n += len(data) // 4 + 1
             return n
