@@ -1,6 +1,7 @@
 import re
 import subprocess
 import sys
+from numbers import Number
 from pathlib import Path
 
 import duckdb
@@ -31,7 +32,7 @@ def by_sql(name, tables):
 def compare(df, sql):
     found = df.toPandas()
     assert sorted(found.columns) == sorted(sql.columns)
-    cell = lambda v: None if pd.isna(v) else (round(float(v), 9) if isinstance(v, float) else v)
+    cell = lambda v: None if pd.isna(v) else (round(float(v), 9) if isinstance(v, Number) and not isinstance(v, bool) else v)
     norm = lambda f: sorted((tuple(cell(x) for x in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False)), key=str)
     a, b = norm(found), norm(sql)
     assert [tuple(map(str, x)) for x in a] == [tuple(map(str, x)) for x in b]
