@@ -8,10 +8,11 @@ matches in order make up ``LEAST`` or more of all k-mers of both.
 
 Scale: exact copies (equal word sequences) collapse to their smallest id before
 anything else.  Members of a bucket are compared with two leaders, the member in
-the largest buckets and the smallest id, not with one another; then, in rounds,
-only members that are not yet in one class: all of them in buckets up to ``SMALL``,
-those of another class against a new leader in larger ones, until a round adds
-no link.  Joins on a bucket or leader are plain equi-joins whose hot keys adaptive
+the largest buckets and the smallest id, not with one another.  Then only members
+that are not yet in one class meet: all of them in buckets up to ``SMALL``; in larger
+ones those that share a second sketch, again all of them up to ``SMALL``, and a new
+leader beyond.  A link is lost only if both ends share large buckets alone and no
+leader ties them to one class; tests and the README measure that against brute force.  Joins on a bucket or leader are plain equi-joins whose hot keys adaptive
 execution can split; groups are pre-aggregated.  Every round's tables are written
 to the shared folder.
 
@@ -38,11 +39,15 @@ from sparkloom.session import discard, materialize
 
 WORDS = 5
 LEAST = 0.8
-#: Sketches of a text and k-mers in each: a pair at similarity 0.8 shares one with probability over 0.99999.
+#: Sketches of a text and k-mers in each.
 SKETCHES = 12
 SAMPLE = 2
 #: Buckets up to this size compare all members that are not in one class yet.
 SMALL = 16
+#: Candidates share this many sketches: at similarity 0.8 with probability 0.9999.
+SHARED = 2
+#: Bits of the filter of wanted ids: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
 
 _ODD = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -113,20 +118,43 @@ def sketch_table(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return slim.mapInArrow(run, "id long, digest binary, n long, sketch array<long>")
 
 
+def _marked(wanted: DataFrame) -> np.ndarray:
+    """A bit set of FILTER_BITS bits with the hash of each wanted id, whatever their number."""
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = wanted.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {FILTER_BITS}) % 64 AS INT))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
 def _sequences(docs: DataFrame, text_col: str, id_col: str, wanted: DataFrame) -> DataFrame:
-    """(id, seq): the k-mers of the wanted documents, 32 bits each."""
+    """(id, seq): the k-mers of the wanted documents, 32 bits each.
+
+    Texts stay where they are: tasks make k-mers only of ids in a bit set of fixed
+    size, which may pass a few too many, and the join with the wanted ids drops those.
+    """
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marked.value
         for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            passed = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            batch = batch.filter(pa.array(passed.astype(bool)))
             data = [(shingles(word_hashes(t.as_py() or ""), WORDS) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "seq"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.join(wanted.select("id"), "id").mapInArrow(run, "id long, seq binary")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    made = slim.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(run, "id long, seq binary")
+    return made.join(wanted.select("id"), "id")
 
 
-def _verified(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches ``least``."""
+def _verified(pairs: DataFrame, seqs: DataFrame, brief: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches ``least``; sketches sift them before k-mers are moved."""
+    one, two = (brief.select(F.col("id").alias(e), F.col("sketch").alias(f"{e}_sketch")) for e in ("a", "b"))
+    equal = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.join(one, "a").join(two, "b").where(equal >= SHARED).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lambda x: np.frombuffer(x.as_buffer(), "<u4")
@@ -159,40 +187,64 @@ def _leader(rank) -> object:
     return F.struct((-rank["id"]).alias("id"), rank["n"].alias("n"))
 
 
+def _apart(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Members of buckets in which classes meet, with the bucket's size and a leader.
+
+    The leader is the best of the class that a hash picks, so buckets differ in it.
+    """
+    mixed = rows.groupBy(*keys).agg(
+        F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("rank", F.struct(F.xxhash64("label", *keys), "rank")).alias("next")
+    )
+    return rows.drop("size").join(mixed.where("lo < hi").drop("lo", "hi"), keys)
+
+
+def _within(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of different classes within small buckets: at most SMALL - 1 a member."""
+    two = rows.select(*keys, F.col("who").alias("other"), F.col("label").alias("other_label"))
+    return _pairs(rows.select(*keys, "who", "label").join(two, keys).where("label < other_label"), "who", "other")
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Pairs of members and their bucket's new leader."""
+    return _pairs(rows.withColumn("lead", _leader(F.col("next"))), "who", "lead")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = LEAST) -> DataFrame:
     """One row per input row: id and class id, the smallest id of its class."""
     sketched = materialize(sketch_table(docs, text_col, id_col), "sketches")
     copies = sketched.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     texts = materialize(copies, "texts")
     members = materialize(_members(texts), "members")
-    seqs = materialize(_sequences(docs, text_col, id_col, members.select("who.id").distinct()), "sequences")
+    wanted = materialize(members.select("who.id").distinct(), "wanted")
+    brief = materialize(texts.join(wanted, "id", "left_semi").select("id", "sketch"), "brief")
+    seqs = materialize(_sequences(docs, text_col, id_col, wanted), "sequences")
     leaders = members.groupBy("t", "key").agg(F.max("rank").alias("hub"), F.min("who").alias("low"))
     starred = members.join(leaders.select("t", "key", F.explode(F.array(_leader(F.col("hub")), F.col("low"))).alias("lead")), ["t", "key"])
     pairs = materialize(_pairs(starred, "who", "lead"), "pairs")
-    links = materialize(_verified(pairs, seqs, least), "links")
-    tested, rounds = pairs, 0
-    while True:
-        classes = materialize(connected_components(links, "a", "b"), "classes")
-        # Members with their class so far; buckets where classes still meet.
-        placed = members.join(classes.select(F.col("id").alias("cid"), "label"), F.col("who.id") == F.col("cid"), "left")
-        placed = placed.withColumn("label", F.coalesce("label", "who.id"))
-        # At first the best of a bucket leads on; each later round takes the best of another class, chosen by a hash of the round.
-        mixed = placed.groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("rank", F.xxhash64("label", F.lit(rounds))).alias("next")).where("lo < hi")
-        placed = placed.join(mixed, ["t", "key"])
-        small = placed.where(F.col("size") <= SMALL)
-        one, two = small.select("t", "key", "who", "label"), small.select("t", "key", F.col("who").alias("other"), F.col("label").alias("other_label"))
-        within = _pairs(one.join(two, ["t", "key"]).where("label < other_label"), "who", "other")
-        led = _pairs(placed.where(F.col("size") > SMALL).withColumn("lead", _leader(F.col("next"))), "who", "lead")
-        fresh = (within.unionAll(led) if rounds == 0 else led).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "pairs")
-        more = materialize(_verified(fresh, seqs, least), "links")
-        rounds += 1
-        if more.isEmpty():
-            break
-        links = links.unionAll(more)
-        tested = tested.unionAll(fresh)
-        discard(classes)
-    for used in (members, seqs, pairs):
+    links = materialize(_verified(pairs, seqs, brief, least), "links")
+    classes = connected_components(links, "a", "b")
+    # What the leaders left apart: buckets in which classes still meet.
+    label = classes.select(F.col("id").alias("cid"), "label")
+    placed = members.join(label, F.col("who.id") == F.col("cid"), "left").withColumn("label", F.coalesce("label", "who.id")).drop("cid")
+    placed = materialize(_apart(placed, ["t", "key"]), "apart")
+    near = [_within(placed.where(F.col("size") <= SMALL), ["t", "key"])]
+    # Large buckets fall into those of members that share a second sketch as well.
+    large = placed.where(F.col("size") > SMALL)
+    again = large.join(texts.select(F.col("id").alias("tid"), "sketch"), F.col("who.id") == F.col("tid"))
+    again = again.select("t", "key", "who", "rank", "label", F.posexplode("sketch").alias("t2", "key2")).where("t2 > t")
+    both = ["t", "key", "t2", "key2"]
+    again = materialize(_apart(again.drop("size"), both), "apart")
+    near += [_within(again.where(F.col("size") <= SMALL), both), _led(again.where(F.col("size") > SMALL)), _led(large)]
+    fresh = near[0]
+    for more in near[1:]:
+        fresh = fresh.unionAll(more)
+    fresh = materialize(fresh.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_verified(fresh, seqs, brief, least), "links")
+    if not more.isEmpty():
+        classes = connected_components(links.unionAll(more), "a", "b")
+    for used in (placed, again, fresh):
+        discard(used)
+    for used in (members, seqs, brief, wanted, pairs):
         discard(used)
     named = texts.select("digest", "id").join(classes.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("digest", F.coalesce("label", "id").alias("class_id"))
     out = sketched.select("id", "digest").join(named, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
