@@ -9,10 +9,14 @@ matches in order make up ``LEAST`` or more of all k-mers of both.
 Scale: exact copies (equal word sequences) collapse to their smallest id before
 anything else.  Members of a bucket are compared with two leaders, the member in
 the largest buckets and the smallest id, not with one another.  Then only members
-that are not yet in one class meet: all of them in buckets up to ``SMALL``; in larger
-ones those that share a second sketch, again all of them up to ``SMALL``, and a new
-leader beyond.  A link is lost only if both ends share large buckets alone and no
-leader ties them to one class; tests and the README measure that against brute force.  Joins on a bucket or leader are plain equi-joins whose hot keys adaptive
+that are not yet in one class meet: all of them in buckets up to ``SMALL``.  Larger
+ones are sorted by their other sketches, once per stride, so that texts which share
+most of them come to stand side by side, and each meets the ``NEXT`` before it: work
+grows with the rows, not with the square of a group, and a sort by ranges cuts a hot
+bucket into as many tasks as it needs.  A link is lost only if both ends share large
+buckets alone, no leader ties them to one class and they are neighbours in no order (or
+one cut between ranges parts them in all); tests and the README measure that against
+brute force.  Joins on a bucket or leader are plain equi-joins whose hot keys adaptive
 execution can split; groups are pre-aggregated.  Every round's tables are written
 to the shared folder.
 
@@ -44,6 +48,10 @@ SKETCHES = 12
 SAMPLE = 2
 #: Buckets up to this size compare all members that are not in one class yet.
 SMALL = 16
+#: In larger buckets a text meets so many texts before it, in the order of each stride.
+NEXT = 32
+#: Orders in which sketches follow one another; coprime to SKETCHES, so each visits all.
+STRIDES = (1, 5)
 #: Candidates share this many sketches: at similarity 0.8 with probability 0.9999.
 SHARED = 2
 #: Bits of the filter of wanted ids: 2 MB, whatever the input.
@@ -167,9 +175,9 @@ def _verified(pairs: DataFrame, seqs: DataFrame, brief: DataFrame, least: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
+def _pairs(rows: DataFrame, one: str, two: str, least: float) -> DataFrame:
     """Distinct unordered pairs of ids whose sizes allow the similarity."""
-    ends = rows.where(F.col(one)["id"] != F.col(two)["id"]).where(F.least(F.col(one)["n"], F.col(two)["n"]) >= LEAST * F.greatest(F.col(one)["n"], F.col(two)["n"]) - 1e-9)
+    ends = rows.where(F.col(one)["id"] != F.col(two)["id"]).where(F.least(F.col(one)["n"], F.col(two)["n"]) >= least * F.greatest(F.col(one)["n"], F.col(two)["n"]) - 1e-9)
     a, b = F.col(one)["id"], F.col(two)["id"]
     return ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
@@ -188,25 +196,67 @@ def _leader(rank) -> object:
 
 
 def _apart(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Members of buckets in which classes meet, with the bucket's size and a leader.
-
-    The leader is the best of the class that a hash picks, so buckets differ in it.
-    """
-    mixed = rows.groupBy(*keys).agg(
-        F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("rank", F.struct(F.xxhash64("label", *keys), "rank")).alias("next")
-    )
-    return rows.drop("size").join(mixed.where("lo < hi").drop("lo", "hi"), keys)
+    """Members of buckets in which classes meet."""
+    mixed = rows.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return rows.join(mixed.where("lo < hi").select(*keys), keys)
 
 
-def _within(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _within(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
     """Pairs of different classes within small buckets: at most SMALL - 1 a member."""
     two = rows.select(*keys, F.col("who").alias("other"), F.col("label").alias("other_label"))
-    return _pairs(rows.select(*keys, "who", "label").join(two, keys).where("label < other_label"), "who", "other")
+    return _pairs(rows.select(*keys, "who", "label").join(two, keys).where("label < other_label"), "who", "other", least)
+
+
+def _neighbours(rows: DataFrame, seqs: DataFrame, brief: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b) between classes within large buckets.
+
+    K-mers travel with the rows, so that only links leave a task.  A task joins the
+    classes it links and compares no two texts of one class.
+    """
+    slim = rows.select(F.col("who.id").alias("id"), "t", "key", "label")
+    ready = materialize(slim.join(brief, "id").join(seqs, "id"), "ready")
+    other = F.transform(F.sequence(F.lit(1), F.lit(SKETCHES - 1)), lambda j: F.get("sketch", (F.col("t") + j * F.col("stride")) % SKETCHES))
+    order = ["stride", "t", "key", "rest", "id"]
+    turned = ready.withColumn("stride", F.explode(F.array(*map(F.lit, STRIDES)))).withColumn("rest", other)
+    placed = turned.repartitionByRange(*order).sortWithinPartitions(*order).select("stride", "t", "key", "id", "label", "sketch", "seq")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        parent: dict[int, int] = {}
 
-def _led(rows: DataFrame) -> DataFrame:
-    """Pairs of members and their bucket's new leader."""
-    return _pairs(rows.withColumn("lead", _leader(F.col("next"))), "who", "lead")
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            bucket = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            ids, labels = (batch.column(i).to_pylist() for i in (3, 4))
+            marks = batch.column(5).flatten().to_numpy().reshape(-1, SKETCHES)
+            kmers = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(6)]
+            first = 0
+            if last is not None:
+                first = len(last[1])
+                bucket, marks = np.concatenate([last[0], bucket]), np.concatenate([last[3], marks])
+                ids, labels, kmers = last[1] + ids, last[2] + labels, last[4] + kmers
+            size = np.array([len(x) for x in kmers])
+            found_a, found_b = [], []
+            for p in range(first, len(ids)):
+                at = slice(max(0, p - NEXT), p)
+                like = (bucket[at] == bucket[p]).all(axis=1) & ((marks[at] == marks[p]).sum(axis=1) >= SHARED)
+                like &= np.minimum(size[at], size[p]) >= least * np.maximum(size[at], size[p]) - 1e-9
+                for q in (np.flatnonzero(like) + at.start).tolist():
+                    one, two = root(labels[p]), root(labels[q])
+                    if one != two and aligned(kmers[p], kmers[q], least) > 0:
+                        parent[max(one, two)] = min(one, two)
+                        found_a.append(max(ids[p], ids[q]))
+                        found_b.append(min(ids[p], ids[q]))
+            last = bucket[-NEXT:], ids[-NEXT:], labels[-NEXT:], marks[-NEXT:], kmers[-NEXT:]
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    out = materialize(placed.mapInArrow(run, "a long, b long"), "links")
+    discard(ready)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = LEAST) -> DataFrame:
@@ -220,31 +270,20 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     seqs = materialize(_sequences(docs, text_col, id_col, wanted), "sequences")
     leaders = members.groupBy("t", "key").agg(F.max("rank").alias("hub"), F.min("who").alias("low"))
     starred = members.join(leaders.select("t", "key", F.explode(F.array(_leader(F.col("hub")), F.col("low"))).alias("lead")), ["t", "key"])
-    pairs = materialize(_pairs(starred, "who", "lead"), "pairs")
+    pairs = materialize(_pairs(starred, "who", "lead", least), "pairs")
     links = materialize(_verified(pairs, seqs, brief, least), "links")
     classes = connected_components(links, "a", "b")
     # What the leaders left apart: buckets in which classes still meet.
     label = classes.select(F.col("id").alias("cid"), "label")
     placed = members.join(label, F.col("who.id") == F.col("cid"), "left").withColumn("label", F.coalesce("label", "who.id")).drop("cid")
-    placed = materialize(_apart(placed, ["t", "key"]), "apart")
-    near = [_within(placed.where(F.col("size") <= SMALL), ["t", "key"])]
-    # Large buckets fall into those of members that share a second sketch as well.
-    large = placed.where(F.col("size") > SMALL)
-    again = large.join(texts.select(F.col("id").alias("tid"), "sketch"), F.col("who.id") == F.col("tid"))
-    again = again.select("t", "key", "who", "rank", "label", F.posexplode("sketch").alias("t2", "key2")).where("t2 > t")
-    both = ["t", "key", "t2", "key2"]
-    again = materialize(_apart(again.drop("size"), both), "apart")
-    near += [_within(again.where(F.col("size") <= SMALL), both), _led(again.where(F.col("size") > SMALL)), _led(large)]
-    fresh = near[0]
-    for more in near[1:]:
-        fresh = fresh.unionAll(more)
-    fresh = materialize(fresh.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_verified(fresh, seqs, brief, least), "links")
+    placed = materialize(_apart(placed.drop("rank"), ["t", "key"]), "apart")
+    near = _within(placed.where(F.col("size") <= SMALL), ["t", "key"], least)
+    fresh = materialize(near.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _verified(fresh, seqs, brief, least).unionAll(_neighbours(placed.where(F.col("size") > SMALL), seqs, brief, least))
+    more = materialize(more, "links")
     if not more.isEmpty():
         classes = connected_components(links.unionAll(more), "a", "b")
-    for used in (placed, again, fresh):
-        discard(used)
-    for used in (members, seqs, brief, wanted, pairs):
+    for used in (placed, fresh, members, seqs, brief, wanted, pairs):
         discard(used)
     named = texts.select("digest", "id").join(classes.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("digest", F.coalesce("label", "id").alias("class_id"))
     out = sketched.select("id", "digest").join(named, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))

@@ -103,6 +103,25 @@ def test_near_duplicates_match_brute_force(spark):
     assert len(set(found.values())) < len(found)
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(60):  # a crowd around one text, below the similarity, in which each has a twin
+        one = list(base)
+        for at in rng.sample(range(110), 3):
+            one[at] = f"x{rng.random()}"
+        rows += [" ".join(one), " ".join([*one[:-1], f"y{i}"])]
+    rows = list(enumerate(rows))
+    used = []
+    kept = near._neighbours
+    monkeypatch.setattr(near, "_neighbours", lambda rows, *rest: used.append(rows.count()) or kept(rows, *rest))
+    monkeypatch.setattr(near, "SMALL", 4)
+    found = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(docs(spark, rows)).collect()}
+    assert used[0] > 0
+    assert found == brute_classes(rows)
+
+
 def test_near_duplicates_odd_texts(spark):
     texts = [*ODD, "one"]
     df = docs(spark, texts)
