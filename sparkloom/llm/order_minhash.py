@@ -9,14 +9,13 @@ matches in order make up ``LEAST`` or more of all k-mers of both.
 Scale: exact copies (equal word sequences) collapse to their smallest id before
 anything else.  Members of a bucket are compared with two leaders, the member in
 the largest buckets and the smallest id, not with one another.  Then only members
-that are not yet in one class meet: all of them in buckets up to ``SMALL``.  Larger
-ones are sorted by their other sketches, once per stride, so that texts which share
-most of them come to stand side by side, and each meets the ``NEXT`` before it: work
-grows with the rows, not with the square of a group, and a sort by ranges cuts a hot
-bucket into as many tasks as it needs.  A link is lost only if both ends share large
-buckets alone, no leader ties them to one class and they are neighbours in no order (or
-one cut between ranges parts them in all); tests and the README measure that against
-brute force.  Joins on a bucket or leader are plain equi-joins whose hot keys adaptive
+that are not yet in one class meet, all of them: pair by pair in buckets up to ``SMALL``,
+and in larger ones in blocks of about ``BLOCK`` rows, each two blocks in a group of their
+own, so that a hot bucket is spread over as many tasks as it needs.  Within a group only
+texts of different classes that may reach the similarity are aligned.  Classes are thus
+those of all candidates; what grows with the square of a large bucket in which classes
+meet is the comparison of sketches, and its rows times its blocks are moved.
+Joins on a bucket or leader are plain equi-joins whose hot keys adaptive
 execution can split; groups are pre-aggregated.  Every round's tables are written
 to the shared folder.
 
@@ -48,10 +47,8 @@ SKETCHES = 12
 SAMPLE = 2
 #: Buckets up to this size compare all members that are not in one class yet.
 SMALL = 16
-#: In larger buckets a text meets so many texts before it, in the order of each stride.
-NEXT = 32
-#: Orders in which sketches follow one another; coprime to SKETCHES, so each visits all.
-STRIDES = (1, 5)
+#: Rows of a block of a larger bucket; each two blocks are compared in a group of their own.
+BLOCK = 1024
 #: Candidates share this many sketches: at similarity 0.8 with probability 0.9999.
 SHARED = 2
 #: Bits of the filter of wanted ids: 2 MB, whatever the input.
@@ -208,53 +205,51 @@ def _within(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
 
 
 def _neighbours(rows: DataFrame, seqs: DataFrame, brief: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b) between classes within large buckets.
+    """Verified links (a, b) between classes within large buckets, all that no links of the same task imply.
 
-    K-mers travel with the rows, so that only links leave a task.  A task joins the
-    classes it links and compares no two texts of one class.
+    A bucket is cut into blocks of about BLOCK rows by a hash of the id, and each two
+    blocks meet in a group of their own.  K-mers travel with the rows, so that only links
+    leave a task.  A pair is compared in the first bucket it shares and in no other.
     """
-    slim = rows.select(F.col("who.id").alias("id"), "t", "key", "label")
+    slim = rows.select(F.col("who.id").alias("id"), "t", "key", "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     ready = materialize(slim.join(brief, "id").join(seqs, "id"), "ready")
-    other = F.transform(F.sequence(F.lit(1), F.lit(SKETCHES - 1)), lambda j: F.get("sketch", (F.col("t") + j * F.col("stride")) % SKETCHES))
-    order = ["stride", "t", "key", "rest", "id"]
-    turned = ready.withColumn("stride", F.explode(F.array(*map(F.lit, STRIDES)))).withColumn("rest", other)
-    placed = turned.repartitionByRange(*order).sortWithinPartitions(*order).select("stride", "t", "key", "id", "label", "sketch", "seq")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
-
-        for batch in batches:
-            bucket = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            ids, labels = (batch.column(i).to_pylist() for i in (3, 4))
-            marks = batch.column(5).flatten().to_numpy().reshape(-1, SKETCHES)
-            kmers = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(6)]
-            first = 0
-            if last is not None:
-                first = len(last[1])
-                bucket, marks = np.concatenate([last[0], bucket]), np.concatenate([last[3], marks])
-                ids, labels, kmers = last[1] + ids, last[2] + labels, last[4] + kmers
-            size = np.array([len(x) for x in kmers])
-            found_a, found_b = [], []
-            for p in range(first, len(ids)):
-                at = slice(max(0, p - NEXT), p)
-                like = (bucket[at] == bucket[p]).all(axis=1) & ((marks[at] == marks[p]).sum(axis=1) >= SHARED)
-                like &= np.minimum(size[at], size[p]) >= least * np.maximum(size[at], size[p]) - 1e-9
-                for q in (np.flatnonzero(like) + at.start).tolist():
-                    one, two = root(labels[p]), root(labels[q])
-                    if one != two and aligned(kmers[p], kmers[q], least) > 0:
-                        parent[max(one, two)] = min(one, two)
-                        found_a.append(max(ids[p], ids[q]))
-                        found_b.append(min(ids[p], ids[q]))
-            last = bucket[-NEXT:], ids[-NEXT:], labels[-NEXT:], marks[-NEXT:], kmers[-NEXT:]
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-
-    out = materialize(placed.mapInArrow(run, "a long, b long"), "links")
+    own = ready.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = own.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select("t", "key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "id", "label", "sketch", "seq")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        t, i, j = (group.column(c)[0].as_py() for c in ("t", "i", "j"))
+        own, ids, now = (group.column(c).to_numpy() for c in ("own", "id", "label"))
+        now = now.copy()
+        marks = np.array(group.column("sketch").to_pylist(), np.int64)
+        kmers = [np.frombuffer(x.as_buffer(), "<u4") for x in group.column("seq")]
+        size = np.array([len(x) for x in kmers])
+        distinct, codes = np.unique(np.concatenate(kmers), return_inverse=True)
+        codes, held = np.split(codes, np.cumsum(size)[:-1]), np.zeros(len(distinct), bool)
+        found_a, found_b = [], []
+        for p in range(1, len(ids)):
+            like = (now[:p] != now[p]) & (np.minimum(size[:p], size[p]) >= least * np.maximum(size[:p], size[p]) - 1e-9)
+            if i != j:
+                like &= own[:p] != own[p]
+            some = np.flatnonzero(like)
+            same = marks[some] == marks[p]
+            some = some[~same[:, :t].any(axis=1) & (same.sum(axis=1) >= SHARED)]
+            if not len(some):
+                continue
+            # Shared k-mers in any order bound those in order: only where they suffice is a pair aligned.
+            held[codes[p]] = True
+            shared = np.add.reduceat(held[np.concatenate([codes[q] for q in some])], np.cumsum(size[some]) - size[some], dtype=np.int64)
+            held[codes[p]] = False
+            for q in some[shared >= least * (size[some] + size[p]) / (1 + least) - 1e-9].tolist():
+                one, two = now[p], now[q]
+                if one != two and aligned(kmers[p], kmers[q], least) > 0:
+                    now[now == max(one, two)] = min(one, two)
+                    found_a.append(max(ids[p], ids[q]))
+                    found_b.append(min(ids[p], ids[q]))
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    out = materialize(dealt.groupBy("t", "key", "i", "j").applyInArrow(run, "a long, b long"), "links")
     discard(ready)
     return out
 

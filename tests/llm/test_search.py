@@ -122,6 +122,24 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert found == brute_classes(rows)
 
 
+def test_large_buckets_compare_all_members(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n = 300  # texts 2k and 2k + 1 link and share sketches 0 and 6; in every other sketch all differ
+    marks = rng.integers(1, 1 << 62, (n, near.SKETCHES))
+    marks[:, 0] = 5
+    marks[1::2, 6] = marks[::2, 6]
+    kmers = rng.integers(0, 1 << 32, (n, 50)).astype("<u4")
+    kmers[1::2, 1:] = kmers[::2, 1:]
+    who = [((i, 50), 0, 5, n, i) for i in range(n)]
+    rows = spark.createDataFrame(who, "who struct<id:long,n:long>, t int, key long, size long, label long")
+    seqs = spark.createDataFrame([(i, bytearray(k.tobytes())) for i, k in enumerate(kmers)], "id long, seq binary")
+    brief = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(marks)], "id long, sketch array<long>")
+    for block in (32, 1024):
+        monkeypatch.setattr(near, "BLOCK", block, raising=False)
+        found = near._neighbours(rows, seqs, brief, near.LEAST).collect()
+        assert sorted(map(tuple, found)) == [(i + 1, i) for i in range(0, n, 2)]
+
+
 def test_near_duplicates_odd_texts(spark):
     texts = [*ODD, "one"]
     df = docs(spark, texts)
