@@ -40,7 +40,7 @@ LEAST_TAIL = 64
 CACHE = 1_000_000
 CHARS = 1 << 20
 END = 2
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long, ids array<int>"
 
 
 class WordEncoder:
@@ -193,6 +193,7 @@ class Packer:
         self.tiers, self.pool, self.docs = tuple(tiers), Pool(), {}
         self.next_doc, self.sequence, self.step, self.room = 0, partition << 40, partition << 40, STEP
         self.rows: list[tuple] = []
+        self.ids: list[memoryview] = []
         self.ready: list[tuple[int, Sequence_]] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -215,8 +216,9 @@ class Packer:
             self.room -= window
             for key, start, length in pieces:
                 doc = self.docs[key]
-                crc = zlib.crc32(memoryview(doc[1])[4 * start : 4 * (start + length)])
-                self.rows.append((doc[0], start, length, crc, doc[2], self.sequence, offset, window, self.step))
+                ids = memoryview(doc[1])[4 * start : 4 * (start + length)]
+                self.rows.append((doc[0], start, length, zlib.crc32(ids), doc[2], self.sequence, offset, window, self.step))
+                self.ids.append(ids)
                 offset += length
                 doc[3] -= length
                 if not doc[3]:
@@ -224,14 +226,17 @@ class Packer:
             self.sequence += 1
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        rows, self.rows = self.rows, []
-        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        rows, ids, self.rows, self.ids = self.rows, self.ids, [], []
+        columns = list(zip(*rows, strict=True)) or [()] * (len(schema) - 1)
+        plain = [pa.array(c, pa.int64()) for c in columns]
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        return pa.RecordBatch.from_arrays([*plain, tokens.cast(schema.field("ids").type)], schema=schema)
 
 
 def pack_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None, tiers: Sequence[int] = TIERS) -> DataFrame:
-    """One row per piece.  ``tokenizer`` is the vocabulary file's path on the executors."""
-    schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
+    """One row per piece, with its token ids.  ``tokenizer`` is the vocabulary file's path on the executors."""
+    schema = pa.schema([(c.split()[0], pa.list_(pa.int32()) if c.startswith("ids array") else pa.int64()) for c in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

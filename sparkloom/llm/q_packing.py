@@ -9,7 +9,7 @@ from sparkloom.session import table
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
 QUERIES = {"op10_packing": op10_packing}

@@ -100,6 +100,16 @@ def test_packing_odd_texts(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_packing_gives_token_ids(spark):
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["the river and a stone", "", "river stone " * 3000]
+    found = defaultdict(list)
+    for r in sorted(packing.pack_documents(docs(spark, texts)).collect(), key=lambda r: r["start"]):
+        assert len(r["ids"]) == r["length"]
+        found[r["doc_id"]] += r["ids"]
+    assert found == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts, 1)}
+
+
 def test_tiers_fill(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["stone", "river", "x1", "don't", "Größe.", "0"]) for _ in range(rng.choice([3, 200, 900, 2500, 6000]))) for _ in range(60)]
