@@ -9,7 +9,7 @@ from sparkloom.session import table
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(table(spark, sf_dir, "documents")).drop("ids", "nbest")
 
 
 QUERIES = {"op1_sentence_pieces": op1_sentence_pieces}

@@ -320,6 +320,18 @@ class Codec:
                     heapq.heappush(heap, (value + lists[k][1][p][0] - lists[k][1][p + 1][0], follow))
         return out
 
+    def replaced(self, ids: np.ndarray, places: np.ndarray, other: dict[int, list[int]]) -> np.ndarray:
+        """The best ids of words with those of some words replaced."""
+        if not other:
+            return ids
+        ends = np.cumsum(self.begin[places + 1] - self.begin[places])
+        out, at = [], 0
+        for i in sorted(other):
+            first = ends[i] - (self.begin[places[i] + 1] - self.begin[places[i]])
+            out += [ids[at:first], np.asarray(other[i], "<u4")]
+            at = ends[i]
+        return np.concatenate([*out, ids[at:]])
+
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The ``n`` best (score, ids) of a text."""
         units = units_of(text)
@@ -332,10 +344,20 @@ class Codec:
         return self.vocabulary.decode(ids)
 
 
+def starts(lists: Sequence) -> pa.Array:
+    """Offsets of lists that follow one another."""
+    return pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+
+
+def id_lists(lists: Sequence[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(starts(lists), pa.array(np.concatenate(lists).astype("<i4")))
+
+
 def encode_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: str | None = None, best: int = BEST) -> DataFrame:
-    """Per row: piece count, CRC of the best ids, scores of the ``best`` segmentations, and whether decoding restores the text."""
-    spec = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores string, restored boolean"
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("nbest_scores", pa.string()), ("restored", pa.bool_())])
+    """Per row: the best ids and the ``best`` segmentations (score, ids), best first; with them piece count,
+    CRC of the best ids, scores in whole numbers, and whether decoding restores the text."""
+    spec = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores string, restored boolean, ids array<int>, nbest array<struct<score:double,ids:array<int>>>"
+    names_of = [c.split()[0] for c in spec.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, best)
@@ -343,12 +365,19 @@ def encode_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
         def rows(names: list, texts: list[str]) -> pa.RecordBatch:
             split = [units_of(t) for t in texts]
             codec.learn(split)
-            out = []
+            out, every, lists = [], [], []
             for name, text, units in zip(names, texts, split, strict=True):
                 places = codec.places(units)
                 ids, found = codec.best_ids(places), codec.nbest(units, places, best)
                 out.append((name, len(ids), zlib.crc32(ids.tobytes()), found[0][0], ",".join(f"{s:.0f}" for s, _ in found), codec.decode(ids) == text))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+                every.append(ids)
+                lists.append([(s, codec.replaced(ids, places, other)) for s, other in found])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_())
+            plain = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            flat = [x for found in lists for x in found]
+            pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), id_lists([x for _, x in flat])], names=["score", "ids"])
+            nbest = pa.ListArray.from_arrays(starts(lists), pairs)
+            return pa.RecordBatch.from_arrays([*plain, id_lists(every), nbest], names=names_of)
 
         for batch in batches:
             names, texts, chars = [], [], 0

@@ -55,6 +55,16 @@ def test_encode_query(spark, codec):
     assert {r["doc_id"]: r["text"] for r in decode_documents(rows).collect()} == {1: "a b", 2: None, 3: ""}
 
 
+def test_encode_gives_ids_and_nbest(spark, codec):
+    df = docs(spark, ["a stone by the river  and é", "", "q", "▁ mixed 😀 words"])
+    rows = encode_documents(df)
+    for r, d in zip(rows.orderBy("doc_id").collect(), df.orderBy("doc_id").collect(), strict=True):
+        found = codec.encode(d["text"], 4)
+        assert r["ids"] == found[0][1] and [(x["score"], x["ids"]) for x in r["nbest"]] == found
+    back = {r["doc_id"]: r["text"] for r in decode_documents(rows).collect()}
+    assert back == {d["doc_id"]: d["text"] for d in df.collect()}
+
+
 def test_units_cover_texts():
     for text in ("a  b", " x ", "   ", "q"):
         assert "".join(units_of(text)) == " " + text
