@@ -43,7 +43,7 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """For each code point the lower-case code point if it is a letter, else 0."""
     out = np.zeros(0x110000, np.uint32)
-    for i in range(0x30000):
+    for i in range(len(out)):
         c = chr(i)
         if c.isalpha():
             low = c.lower()

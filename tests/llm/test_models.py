@@ -50,6 +50,11 @@ def test_language_odd_texts(spark):
     assert {r["lang_pred"] for r in language_id.language_id(df.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
+def test_letters_of_all_planes():
+    assert language_id.fold("\U00030000 \U00031350").tolist() == [0x30000, 0, 0x31350]
+    assert language_id.ngram_counts("\U00030000", 1 << 14) is not None
+
+
 def test_ngram_counts_match_a_plain_count():
     text = "Ab, cde!  FG 12 hé" * 3
     counts = language_id.ngram_counts(text, 1 << 14)
