@@ -3,24 +3,28 @@
 A text's k-mers are its runs of five words, labelled by occurrence.  Each of
 ``SKETCHES`` hash orders samples the ``SAMPLE`` smallest k-mers and keeps them in text
 order, so that sketches agree if k-mers are shared in the same order.  Texts that
-share a sketch are candidates; a banded alignment of their k-mers verifies that
+share ``SHARED`` sketches are candidates; a banded alignment of their k-mers verifies that
 matches in order make up ``LEAST`` or more of all k-mers of both.
 
-Scale: exact copies (equal word sequences) collapse to their smallest id before
+Scale: exact copies (equal word sequences) become one node before
 anything else.  Members of a bucket are compared with two leaders, the member in
-the largest buckets and the smallest id, not with one another.  Then only members
+the largest buckets and the smallest node, not with one another.  Then only members
 that are not yet in one class meet, all of them: pair by pair in buckets up to ``SMALL``,
 and in larger ones in blocks of about ``BLOCK`` rows, each two blocks in a group of their
 own, so that a hot bucket is spread over as many tasks as it needs.  Within a group only
 texts of different classes that may reach the similarity are aligned.  Classes are thus
 those of all candidates; what grows with the square of a large bucket in which classes
 meet is the comparison of sketches, and its rows times its blocks are moved.
-Joins on a bucket or leader are plain equi-joins whose hot keys adaptive
-execution can split; groups are pre-aggregated.  Every round's tables are written
-to the shared folder.
-
-Defined results: null texts and texts without a word are in no class but their own;
-rows of one id are one document; a null id has a null class; an empty table gives
+Joins on a bucket or leader are plain equi-joins between written tables, whose hot keys
+adaptive execution can split; groups are pre-aggregated.  Every round's tables are written
+to the shared folder and deleted in the end.  Texts are never shuffled to find classes; the filter moves
+only those that two bit sets cannot decide.
+
+Defined results: a node is a text (a sequence of words), whatever the ids of its rows.  Null texts
+and texts without a word are in no class but their own.  A class id is the smallest id of the class.
+Rows of one id with different texts each have the class of their own text, so no text is lost;
+should both classes have that id as their smallest, they carry one number, and the filter still tells
+them apart.  A null id has a null class and takes no part; an empty table gives
 an empty result; texts of any length count whole; other columns are ignored or, in
 :func:`near_duplicate_filter`, passed through.
 """
@@ -33,9 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm._bits import bit_set
+from sparkloom.llm._rows import ROW, carry, uncarry
 from sparkloom.llm._words import mix, shingles, word_hashes
 from sparkloom.operators.components import connected_components
 from sparkloom.session import discard, materialize
@@ -43,16 +49,14 @@ from sparkloom.session import discard, materialize
 WORDS = 5
 LEAST = 0.8
 #: Sketches of a text and k-mers in each.
-SKETCHES = 12
+SKETCHES = 16
 SAMPLE = 2
 #: Buckets up to this size compare all members that are not in one class yet.
 SMALL = 16
 #: Rows of a block of a larger bucket; each two blocks are compared in a group of their own.
 BLOCK = 1024
-#: Candidates share this many sketches: at similarity 0.8 with probability 0.9999.
+#: Candidates share this many sketches.
 SHARED = 2
-#: Bits of the filter of wanted ids: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
 
 _ODD = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -98,13 +102,23 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     return share if share >= least - 1e-12 else 0.0
 
 
+def _slim(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(id, print, text); id and print, a hash of the text's bytes, tell rows apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), _print(text).alias("print"), text.alias("text"))
+
+
+def _print(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def sketch_table(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, digest, n, sketch) of every row; digest is null without a word."""
+    """(id, print, digest, n, sketch) of every row; digest is null without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, counts, found = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = word_hashes(text.as_py() or "")
                 if len(words):
                     kmers = shingles(words, WORDS)
@@ -116,43 +130,31 @@ def sketch_table(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
                     counts.append(0)
                     found.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "n", "sketch"]
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                names=["id", "print", "digest", "n", "sketch"],
             )
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "id long, digest binary, n long, sketch array<long>")
-
-
-def _marked(wanted: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS bits with the hash of each wanted id, whatever their number."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = wanted.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {FILTER_BITS}) % 64 AS INT))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return out.view(np.uint64)
+    return _slim(docs, text_col, id_col).mapInArrow(run, "id long, print long, digest binary, n long, sketch array<long>")
 
 
 def _sequences(docs: DataFrame, text_col: str, id_col: str, wanted: DataFrame) -> DataFrame:
-    """(id, seq): the k-mers of the wanted documents, 32 bits each.
+    """(id, seq): the k-mers of the wanted nodes (id, first), 32 bits each.
 
-    Texts stay where they are: tasks make k-mers only of ids in a bit set of fixed
-    size, which may pass a few too many, and the join with the wanted ids drops those.
+    Texts stay where they are: tasks make k-mers only of rows in a bit set, which may pass
+    a few too many, and the join with the wanted rows drops those.
     """
-    marked = docs.sparkSession.sparkContext.broadcast(_marked(wanted))
+    keys = wanted.select("id", F.col("first.id").alias("doc"), F.col("first.print").alias("print"))
+    rows = _slim(docs, text_col, id_col).where("id IS NOT NULL")
+    rows = bit_set(keys, "doc", "print").mark(rows, "id", "print").where("__maybe").select("id", "print", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            passed = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            batch = batch.filter(pa.array(passed.astype(bool)))
-            data = [(shingles(word_hashes(t.as_py() or ""), WORDS) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "seq"])
+            data = [(shingles(word_hashes(t.as_py() or ""), WORDS) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc", "print", "seq"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    made = slim.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(run, "id long, seq binary")
-    return made.join(wanted.select("id"), "id")
+    # Rows that repeat with id and text become one.
+    made = rows.mapInArrow(run, "doc long, print long, seq binary").groupBy("doc", "print").agg(F.first("seq").alias("seq"))
+    return made.join(keys, ["doc", "print"]).select("id", "seq")
 
 
 def _verified(pairs: DataFrame, seqs: DataFrame, brief: DataFrame, least: float) -> DataFrame:
@@ -180,12 +182,17 @@ def _pairs(rows: DataFrame, one: str, two: str, least: float) -> DataFrame:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """(t, key, who, rank) for all buckets of two or more; rank orders leaders, best last."""
+    """(t, key, who, size, rank) for all buckets of two or more; rank orders leaders, best last."""
     rows = texts.select(F.struct("id", "n").alias("who"), F.posexplode("sketch").alias("t", "key"))
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
+    # Written, so that the join is between two exchanges and a hot bucket can be split.
+    sizes = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     rows = materialize(rows.join(sizes, ["t", "key"]), "buckets")
     hubs = rows.groupBy("who").agg(F.sum(F.log2("size")).alias("weight"))
-    return rows.join(hubs, "who").select("t", "key", "who", "size", F.struct(F.round("weight", 6).alias("weight"), (-F.col("who.id")).alias("id"), F.col("who.n").alias("n")).alias("rank"))
+    rank = F.struct(F.round("weight", 6).alias("weight"), (-F.col("who.id")).alias("id"), F.col("who.n").alias("n"))
+    out = materialize(rows.join(hubs, "who").select("t", "key", "who", "size", rank.alias("rank")), "members")
+    discard(sizes)
+    discard(rows)
+    return out
 
 
 def _leader(rank) -> object:
@@ -194,8 +201,10 @@ def _leader(rank) -> object:
 
 def _apart(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Members of buckets in which classes meet."""
-    mixed = rows.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return rows.join(mixed.where("lo < hi").select(*keys), keys)
+    mixed = materialize(rows.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*keys), "mixed")
+    out = materialize(rows.join(mixed, keys), "apart")
+    discard(mixed)
+    return out
 
 
 def _within(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -212,7 +221,7 @@ def _neighbours(rows: DataFrame, seqs: DataFrame, brief: DataFrame, least: float
     leave a task.  A pair is compared in the first bucket it shares and in no other.
     """
     slim = rows.select(F.col("who.id").alias("id"), "t", "key", "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    ready = materialize(slim.join(brief, "id").join(seqs, "id"), "ready")
+    ready = materialize(slim.join(brief.select("id", "sketch"), "id").join(seqs, "id"), "ready")
     own = ready.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = own.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = met.select("t", "key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "id", "label", "sketch", "seq")
@@ -254,45 +263,66 @@ def _neighbours(rows: DataFrame, seqs: DataFrame, brief: DataFrame, least: float
     return out
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """One row per input row: id and class id, the smallest id of its class."""
+def _classes(docs: DataFrame, text_col: str, id_col: str, least: float) -> DataFrame:
+    """(id, print, best) of every row: best is the smallest (id, print) of its class, null without a word or id."""
     sketched = materialize(sketch_table(docs, text_col, id_col), "sketches")
-    copies = sketched.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    texts = materialize(copies, "texts")
-    members = materialize(_members(texts), "members")
-    wanted = materialize(members.select("who.id").distinct(), "wanted")
-    brief = materialize(texts.join(wanted, "id", "left_semi").select("id", "sketch"), "brief")
-    seqs = materialize(_sequences(docs, text_col, id_col, wanted), "sequences")
-    leaders = members.groupBy("t", "key").agg(F.max("rank").alias("hub"), F.min("who").alias("low"))
-    starred = members.join(leaders.select("t", "key", F.explode(F.array(_leader(F.col("hub")), F.col("low"))).alias("lead")), ["t", "key"])
-    pairs = materialize(_pairs(starred, "who", "lead", least), "pairs")
+    copies = sketched.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "print")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # Nodes are numbered once, in a written table: two texts of one id are two nodes.
+    texts = materialize(copies.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "n", "sketch"), "texts")
+    members = _members(texts)
+    wanted = members.select("who.id").distinct()
+    brief = materialize(texts.join(wanted, "id", "left_semi").select("id", "first", "sketch"), "brief")
+    seqs = materialize(_sequences(docs, text_col, id_col, brief), "sequences")
+    leaders = materialize(members.groupBy("t", "key").agg(F.max("rank").alias("hub"), F.min("who").alias("low")).select("t", "key", F.explode(F.array(_leader(F.col("hub")), F.col("low"))).alias("lead")), "leaders")
+    pairs = materialize(_pairs(members.join(leaders, ["t", "key"]), "who", "lead", least), "pairs")
     links = materialize(_verified(pairs, seqs, brief, least), "links")
     classes = connected_components(links, "a", "b")
     # What the leaders left apart: buckets in which classes still meet.
     label = classes.select(F.col("id").alias("cid"), "label")
-    placed = members.join(label, F.col("who.id") == F.col("cid"), "left").withColumn("label", F.coalesce("label", "who.id")).drop("cid")
-    placed = materialize(_apart(placed.drop("rank"), ["t", "key"]), "apart")
-    near = _within(placed.where(F.col("size") <= SMALL), ["t", "key"], least)
+    placed = members.join(label, F.col("who.id") == F.col("cid"), "left").withColumn("label", F.coalesce("label", "who.id")).drop("cid", "rank")
+    placed = materialize(placed, "placed")
+    apart = _apart(placed, ["t", "key"])
+    near = _within(apart.where(F.col("size") <= SMALL), ["t", "key"], least)
     fresh = materialize(near.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(fresh, seqs, brief, least).unionAll(_neighbours(placed.where(F.col("size") > SMALL), seqs, brief, least))
-    more = materialize(more, "links")
+    across = _neighbours(apart.where(F.col("size") > SMALL), seqs, brief, least)
+    more = materialize(_verified(fresh, seqs, brief, least).unionAll(across), "links")
     if not more.isEmpty():
         classes = connected_components(links.unionAll(more), "a", "b")
-    for used in (placed, fresh, members, seqs, brief, wanted, pairs):
+    label = classes.select(F.col("id").alias("cid"), "label")
+    linked = materialize(label.join(texts.select("id", "first"), F.col("cid") == F.col("id")).select("cid", "label", "first"), "linked")
+    best = linked.groupBy("label").agg(F.min("first").alias("best"))
+    best = linked.select("cid", "label").join(best, "label").select("cid", "best")
+    named = texts.select("digest", "id", "first").join(best, F.col("id") == F.col("cid"), "left").select("digest", F.coalesce("best", "first").alias("best"))
+    named = materialize(named, "named")
+    out = materialize(sketched.select("id", "print", "digest").join(named, "digest", "left").select("id", "print", F.when(F.col("id").isNotNull(), F.col("best")).alias("best")), "classes")
+    for used in (sketched, texts, members, brief, seqs, leaders, pairs, links, placed, apart, fresh, across, more, linked, named):
         discard(used)
-    named = texts.select("digest", "id").join(classes.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    out = sketched.select("id", "digest").join(named, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    # Rows of one id are one document: its smallest class holds for all of them.
-    return out.select(F.col("id").alias(id_col), "class_id")
+    return out
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """One row per input row: id and class id, the smallest id of its class."""
+    return _classes(docs, text_col, id_col, least).select(F.col("id").alias(id_col), F.coalesce("best.id", "id").alias("class_id"))
 
 
 def near_duplicate_filter(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """One row of each class, with all columns; rows without an id all stay."""
-    classes = materialize(near_duplicates(docs, text_col, id_col, least), "found")
-    repeated = not classes.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
-    gone = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct()
-    kept = docs.join(gone, docs[f"`{id_col}`"] == gone["__gone"], "left_anti")
-    if repeated:
-        named, unnamed = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
-        kept = named.dropDuplicates([id_col]).unionByName(unnamed)
-    return kept
+    """One row of each class, with all columns; rows without an id all stay.
+
+    Two bit sets decide on nearly all rows where they are: what misses the first stays; what hits it and
+    misses the second goes.  Only the few that hit both are shuffled, to be held against the exact keys.
+    """
+    found = _classes(docs, text_col, id_col, least)
+    own = F.coalesce("best", F.struct("id", "print")) == F.struct("id", "print")
+    keys = found.where("id IS NOT NULL").withColumn("own", own).groupBy("id", "print").agg(F.bool_and("own").alias("own"), F.count("*").alias("n"))
+    keys = materialize(keys, "keys")
+    first = bit_set(keys.where("NOT own OR n > 1"), "id", "print")
+    doubtful = materialize(first.mark(keys.where("own"), "id", "print").where("__maybe").select("id", "print"), "doubtful")
+    second = bit_set(doubtful, "id", "print")
+    rows = carry(docs, __id=F.col(id_col).cast("long"), __print=_print(F.col(text_col).cast("string")))
+    rows = first.mark(rows, "__id", "__print").withColumn("__maybe", F.col("__maybe") & F.col("__id").isNotNull())
+    plain = uncarry(rows.where("NOT __maybe"))
+    rest = second.mark(rows.where("__maybe").drop("__maybe"), "__id", "__print").where("__maybe")
+    exact = rest.join(doubtful, (F.col("__id") == F.col("id")) & (F.col("__print") == F.col("print")), "left_semi")
+    discard(found)
+    discard(keys)
+    return plain.unionAll(uncarry(exact.groupBy("__id", "__print").agg(F.first(ROW).alias(ROW))))
