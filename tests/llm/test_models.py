@@ -1,10 +1,13 @@
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from sparkloom.llm import language_id, quality_classifier
+from sparkloom.llm._words import word_hashes
 from tests.llm.cases import ODD, docs
 
 WORDS = {"xx": "aba kaba taka", "yy": "mone sone lone", "zz": "ürü yürü sürü"}
@@ -50,18 +53,75 @@ def test_language_odd_texts(spark):
     assert {r["lang_pred"] for r in language_id.language_id(df.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")).collect()} == {"und"}
 
 
-def test_letters_of_all_planes():
-    assert language_id.fold("\U00030000 \U00031350").tolist() == [0x30000, 0, 0x31350]
-    assert language_id.ngram_counts("\U00030000", 1 << 14) is not None
+def plain_grams(text):
+    """N-grams of the runs of letters, one by one."""
+    line = [0]
+    for c in text or "":
+        low = c.lower()
+        if c.isalpha():
+            line.append(ord(low) if len(low) == 1 else ord(c))
+        elif line[-1]:
+            line.append(0)
+    line += [0] if line[-1] else []
+    grams = [(x,) for x in line[1:]] + list(zip(line, line[1:])) + [g for g in zip(line, line[1:], line[2:]) if g[1]]
+    return Counter(plain_bucket(g) for g in grams)
 
 
-def test_ngram_counts_match_a_plain_count():
-    text = "Ab, cde!  FG 12 hé" * 3
-    counts = language_id.ngram_counts(text, 1 << 14)
-    folded = [0, *language_id.fold(text).tolist(), 0]
-    assert counts.sum() == sum(max(0, len(folded) - n + 1) for n in language_id.ORDERS)
-    long = "abc def " * 100_000
-    assert abs(language_id.ngram_counts(long, 256).sum() / (3 * 700_000) - 1) < 0.2
+def plain_bucket(gram, buckets=language_id.BUCKETS):
+    h = len(gram)
+    for x in gram:
+        h = (h + x) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 29
+    return (h >> 17) & (buckets - 1)
+
+
+def counted(texts, buckets=language_id.BUCKETS):
+    out = [Counter() for _ in texts]
+    for start, text, bucket, n in language_id.ngram_counts(texts, buckets):
+        for i, b, c in zip(text.tolist(), bucket.tolist(), n.tolist()):
+            out[start + i][b] += c
+    return out
+
+
+def test_ngram_counts_match_a_plain_count(monkeypatch):
+    rng = random.Random(4)
+    texts = [t[1] if isinstance(t, tuple) else t for t in ODD] + ["\U00030000 \U00031350", "Ab, cde!  FG 12 hé" * 3]
+    texts += ["".join(rng.choice("abcÉ 1日\0") for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    for chunk in (language_id.CHUNK, 50, 7, 2):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        assert counted(texts) == [plain_grams(t) for t in texts]
+
+
+def test_long_texts_are_counted_whole():
+    text = "Abc déf, ghi 12 " * 40_000
+    assert len(text) > 2 * language_id.CHUNK
+    assert counted([text, "x", None, text + "y"]) == [plain_grams(t) for t in (text, "x", None, text + "y")]
+
+
+def test_bayes_matches_brute_force(spark):
+    df = corpus(spark)
+    rows = df.collect()
+    learnt = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    sums, size = defaultdict(Counter), Counter(r["lang"] for r in learnt)
+    for r in learnt:
+        sums[r["lang"]] += plain_grams(r["text"])
+    log = {lang: {b: math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * language_id.BUCKETS)) for b in range(language_id.BUCKETS)} for lang, c in sums.items()}
+    found = {r["doc_id"]: r for r in language_id.language_id(df).collect()}
+    for r in rows:
+        score = {lang: math.log(size[lang] / len(learnt)) + sum(n * log[lang][b] for b, n in plain_grams(r["text"]).items()) for lang in log}
+        best = min(score, key=lambda x: (-score[x], x))
+        assert found[r["doc_id"]]["lang_pred"] == best
+        assert found[r["doc_id"]]["score"] == pytest.approx(1 / sum(math.exp(s - score[best]) for s in score.values()))
+
+
+def test_language_ties_and_bounds(spark):
+    rows = [(i, text, lang) for i, (text, lang) in enumerate([("aa bb", "yy"), ("aa bb", "xx")] * 12)]
+    df = spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1], "doc_id long, text string, lang string")
+    even = df.where("lang = 'xx'").limit(3).unionAll(df.where("lang = 'yy'").limit(3))
+    model = language_id.train(even)
+    assert model.predict(["aa", "bb", "1"]) [0] == ["xx", "xx", "und"]
+    with pytest.raises(ValueError):
+        language_id.train(df, most=1)
 
 
 def quality_corpus(spark, n=240):
@@ -93,6 +153,55 @@ def test_quality_odd_texts(spark):
     assert quality_classifier.quality_scores(df.limit(0), labels, model).count() == 0
 
 
+def test_training_rows_keep_all_words():
+    text = " ".join(f"word{i}" for i in range(5_000))
+    index, value = quality_classifier.features(text, None)
+    words = len(set((word_hashes(text) & np.uint64(quality_classifier.BUCKETS - 1)).tolist()))
+    assert words > 4_000 and len(index) == words + len(quality_classifier.STATISTICS)
+    assert value[:words] == pytest.approx(1 / np.sqrt(words))
+
+
+def test_fit_matches_plain_gradients(monkeypatch):
+    """Adam on the loss, its gradient taken pair by pair."""
+    q = quality_classifier
+    monkeypatch.setattr(q, "EPOCHS", 3)
+    monkeypatch.setattr(q, "BATCH", 16)
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        index = np.sort(rng.choice(30, 5, replace=False))
+        rows.append((index, rng.uniform(0.2, 0.6, 5), float((index < 9).sum() > 1)))
+    model = q.fit(rows, seed=5)
+
+    rng = np.random.default_rng(5)
+    theta = np.zeros((q.FEATURES + 1, q.RANK + 1))
+    theta[:-1, 1:] = rng.normal(0, 0.02, (q.FEATURES, q.RANK))
+    share = np.mean([y for _, _, y in rows])
+    theta[-1, 0] = np.log(share / (1 - share))
+    first, second, t = defaultdict(float), defaultdict(float), 0
+    for _ in range(3):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), 16):
+            part, grad = [rows[i] for i in order[at : at + 16]], defaultdict(float)
+            for index, value, y in part:
+                pairs = sum(theta[i, 1:] @ theta[j, 1:] * x * z for a, (i, x) in enumerate(zip(index, value)) for j, z in list(zip(index, value))[:a])
+                error = (1 / (1 + np.exp(-(theta[-1, 0] + theta[index, 0] @ value + pairs))) - y) / len(part)
+                grad[q.FEATURES, 0] += error
+                for i, x in zip(index, value):
+                    grad[i, 0] += error * x
+                    for k in range(1, q.RANK + 1):
+                        grad[i, k] += error * x * sum(theta[j, k] * z for j, z in zip(index, value) if j != i)
+            t += 1
+            for (i, k), g in grad.items():
+                g += q.DECAY * theta[i, k] if i != q.FEATURES else 0
+                first[i, k] = 0.9 * first[i, k] + 0.1 * g
+                second[i, k] = 0.999 * second[i, k] + 0.001 * g * g
+                theta[i, k] -= q.RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * first[i, k] / (np.sqrt(second[i, k]) + 1e-8)
+    assert model.bias == pytest.approx(theta[-1, 0])
+    assert model.linear == pytest.approx(theta[:-1, 0], abs=1e-9)
+    assert model.factors == pytest.approx(theta[:-1, 1:], abs=1e-9)
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(1)
     model = quality_classifier.Model(0.1, rng.normal(size=quality_classifier.FEATURES), rng.normal(size=(quality_classifier.FEATURES, quality_classifier.RANK)) * 0.1)
