@@ -7,13 +7,14 @@ pairwise term of rank r is half the sum over factors of (sum v x)^2 - sum (v x)^
 
 Learning takes at most ``SAMPLE`` labelled texts outside the held-out fold, chosen
 by a hash of the id; features are made on the executors and the sample's sparse
-rows (at most ``ROW_WORDS`` hashed words of each) are fitted on the driver.  Scoring
-reads whole texts with every distinct word, and the model has a fixed size.
+rows are fitted on the driver.  Learning and scoring alike read whole texts with every
+distinct hashed word.  A row has at most ``FEATURES`` non-zeros of 8 bytes, so the driver's memory is
+bounded by the sample; the model has a fixed size.
 
 Defined results: a null text counts as empty; without labelled rows of both kinds
 the score is the share of label 1 (0.5 without any); repeated labels of an id are
 averaged; repeated rows are scored alike; other columns (labels, language, source and
-id included) never enter a score.
+id included) never enter a score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +30,11 @@ from pyspark.sql import functions as F
 from sparkloom.llm._rows import held_out
 from sparkloom.llm._words import word_hashes
 
-#: Hash buckets of words, bins of a statistic, factors, labelled texts at most, words of a training row at most.
+#: Hash buckets of words, bins of a statistic, factors, labelled texts to learn from at most.
 BUCKETS = 1 << 15
 BINS = 32
 RANK = 8
 SAMPLE = 8_000
-ROW_WORDS = 512
 EPOCHS = 12
 BATCH = 128
 RATE = 0.02
@@ -61,14 +61,14 @@ def _size_bin(x: float) -> int:
     return min(BINS - 1, int(2 * np.log2(1 + max(0.0, x))))
 
 
-def features(text: str | None, stated: float | None, words_at_most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, stated: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a text's sparse vector."""
     text = text or ""
     data = np.frombuffer(text.encode(), np.uint8)
     n = max(1, len(data))
     kinds = np.bincount(_KIND[data], minlength=8) / n
     words = word_hashes(text)
-    distinct, count = np.unique(words & np.uint64(BUCKETS - 1), return_counts=True)
+    distinct = np.unique(words & np.uint64(BUCKETS - 1))
     lines = text.split("\n")
     numbers = (
         _size_bin(len(data)),
@@ -81,9 +81,6 @@ def features(text: str | None, stated: float | None, words_at_most: int | None =
         _share_bin(1 - len(set(lines)) / len(lines)),
         BINS - 1 if stated is None else min(BINS - 2, _size_bin(stated)),
     )
-    if words_at_most and len(distinct) > words_at_most:
-        first = np.argsort(-count, kind="stable")[:words_at_most]
-        distinct = distinct[np.sort(first)]
     index = np.concatenate([distinct.astype(np.int64), BUCKETS + BINS * np.arange(len(STATISTICS)) + np.array(numbers)])
     value = np.ones(len(index))
     value[: len(distinct)] = 1 / np.sqrt(max(1, len(distinct)))
@@ -163,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(t.as_py(), s.as_py(), ROW_WORDS) for t, s in zip(batch.column(0), batch.column(1), strict=True)]
+            made = [features(t.as_py(), s.as_py()) for t, s in zip(batch.column(0), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(2), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())], names=["y", "i", "v"]
             )
@@ -172,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     # The sample has a bound in rows (16 bytes each), so it may go to every task and the texts stay where they are.
     made = slim.join(F.broadcast(learn), "id").select("text", "stated", "y").mapInArrow(run, "y double, i binary, v binary")
     rows = made.toArrow()
-    rows = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float), y) for y, i, v in zip(rows["y"].to_pylist(), rows["i"].to_pylist(), rows["v"].to_pylist(), strict=True)]
+    rows = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4"), y) for y, i, v in zip(rows["y"].to_pylist(), rows["i"].to_pylist(), rows["v"].to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[0].tobytes(), r[2]))  # an order of its own, whatever the tasks' order
     return fit(rows)
 
