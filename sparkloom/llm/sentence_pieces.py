@@ -13,11 +13,16 @@ word (spaces and what follows them), and equal words share a part.
   heuristic.  Only the N-1 words of a text that lose least can differ in its N
   best segmentations; the search runs on them and their lists are merged.
 
+Scores are log-probabilities.  A unigram model's file has them.  A merge model's file has ranks of merges, which
+are no scores of a lattice: its pieces get Zipf's law, a probability in proportion to 1 / (rank + ``SHIFT``),
+rank by the file's scores.  The best path is thus the one that the library finds with
+a unigram model of these pieces and scores, not what a merge model's own greedy merging gives.
+
 Decoding joins the bytes of pieces, so it restores every text exactly, runs of
 spaces and a literal U+2581 included.
 
 Defined results: a null text counts as empty; an empty text has no pieces, score
-0 and one segmentation; texts of any length are encoded whole; repeated rows give
+0 and one segmentation; an empty table gives an empty result; texts of any length are encoded whole; repeated rows give
 equal results; ties of score go to longer last pieces; other columns are ignored.
 """
 
@@ -25,9 +30,11 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +47,11 @@ LITERAL = 0x110000
 FALLBACK = -2
 #: Segmentations asked for; distinct words kept by a worker; characters of words in a lattice; texts' characters at once.
 BEST = 4
-CACHE = 500_000
+CACHE = 200_000
 LATTICE = 200_000
+#: Shift of Zipf's law over the pieces of a merge model, and what the library takes off the least score for an unknown character.
+SHIFT = 300
+UNKNOWN_LOSS = 10.0
 CHARS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = re.compile(" +[^ ]*")
@@ -53,6 +63,21 @@ def units_of(text: str) -> list[str]:
     return _UNIT.findall(" " + text) if text else []
 
 
+def log_probabilities(path: str) -> dict[int, float]:
+    """Scores of a model file's normal pieces by id: a unigram model's own, Zipf's law for a merge model."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    score = {i: p.score for i, p in enumerate(model.pieces) if p.type in (p.NORMAL, p.USER_DEFINED)}
+    if model.trainer_spec.model_type == model.trainer_spec.UNIGRAM:
+        return score
+    ranks = sorted(score, key=lambda i: (-score[i], i))
+    total = math.log(sum(1 / (r + SHIFT) for r in range(1, len(ranks) + 1)))
+    return {i: -math.log(r + SHIFT) - total for r, i in enumerate(ranks, 1)}
+
+
 class Vocabulary:
     """Pieces, scores and a hash table of a SentencePiece model file."""
 
@@ -68,9 +93,10 @@ class Vocabulary:
         self.byte_ids = [0] * 256
         self.raw: list[bytes] = []
         self.scores = np.zeros(model.get_piece_size())
+        told = log_probabilities(str(path))
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            self.scores[i] = model.get_score(i)
+            self.scores[i] = told.get(i, 0.0)
             if model.is_byte(i):
                 value = int(piece[3:5], 16)
                 self.byte_ids[value] = i
@@ -83,7 +109,7 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.begin = np.append(0, np.cumsum([len(b) for b in self.raw]))
         self.longest = max(map(len, self.ids), default=1)
-        self.fallback = float(min(self.scores)) - 10.0
+        self.fallback = min(told.values(), default=0.0) - UNKNOWN_LOSS
         self._hash_table()
 
     def _hash_table(self) -> None:
@@ -267,6 +293,16 @@ class Codec:
         self.score, self.loss, self.begin = np.zeros(0), np.zeros(0), np.zeros(1, np.int64)
         self.flat = np.zeros(0, "<u4")
 
+    def _add(self, name: str, at: int, values: np.ndarray) -> None:
+        """Put values at a place of an array, which doubles when it is full."""
+        now = getattr(self, name)
+        if at + len(values) > len(now):
+            wider = np.zeros(max(2 * len(now), at + len(values)), now.dtype)
+            wider[:at] = now[:at]
+            setattr(self, name, wider)
+            now = wider
+        now[at : at + len(values)] = values
+
     def learn(self, texts_units: Sequence[list[str]]) -> None:
         """Make all words of the texts known."""
         fresh = list(dict.fromkeys(u for units in texts_units for u in units if u not in self.index))
@@ -277,11 +313,12 @@ class Codec:
         for u in [*fresh, None]:
             if some and (u is None or chars + len(u) > LATTICE):
                 ids, score, loss = zip(*best_segmentations(self.vocabulary, some), strict=True)
-                self.index |= zip(some, range(len(self.index), len(self.index) + len(some)), strict=True)
-                self.score, self.loss = np.append(self.score, score), np.append(self.loss, loss)
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
-                self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), "<u4"))
+                n, end = len(self.index), int(self.begin[len(self.index)])
+                self.index |= zip(some, range(n, n + len(some)), strict=True)
+                self._add("score", n, np.array(score))
+                self._add("loss", n, np.array(loss))
+                self._add("begin", n + 1, end + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
+                self._add("flat", end, np.frombuffer(b"".join(ids), "<u4"))
                 some, chars = [], 0
             if u is not None:
                 some.append(u)
@@ -344,6 +381,12 @@ class Codec:
         return self.vocabulary.decode(ids)
 
 
+@cache
+def codec_of(model: str | None, best: int) -> Codec:
+    """One per worker process: tasks that follow in it find its words known."""
+    return Codec(model, best)
+
+
 def starts(lists: Sequence) -> pa.Array:
     """Offsets of lists that follow one another."""
     return pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
@@ -355,12 +398,12 @@ def id_lists(lists: Sequence[np.ndarray]) -> pa.ListArray:
 
 def encode_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: str | None = None, best: int = BEST) -> DataFrame:
     """Per row: the best ids and the ``best`` segmentations (score, ids), best first; with them piece count,
-    CRC of the best ids, scores in whole numbers, and whether decoding restores the text."""
+    CRC of the best ids, scores to three places, and whether decoding restores the text."""
     spec = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores string, restored boolean, ids array<int>, nbest array<struct<score:double,ids:array<int>>>"
     names_of = [c.split()[0] for c in spec.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, best)
+        codec = codec_of(model, best)
 
         def rows(names: list, texts: list[str]) -> pa.RecordBatch:
             split = [units_of(t) for t in texts]
@@ -369,7 +412,7 @@ def encode_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
             for name, text, units in zip(names, texts, split, strict=True):
                 places = codec.places(units)
                 ids, found = codec.best_ids(places), codec.nbest(units, places, best)
-                out.append((name, len(ids), zlib.crc32(ids.tobytes()), found[0][0], ",".join(f"{s:.0f}" for s, _ in found), codec.decode(ids) == text))
+                out.append((name, len(ids), zlib.crc32(ids.tobytes()), found[0][0], ",".join(f"{s:.3f}" for s, _ in found), codec.decode(ids) == text))
                 every.append(ids)
                 lists.append([(s, codec.replaced(ids, places, other)) for s, other in found])
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_())
