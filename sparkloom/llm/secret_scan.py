@@ -6,10 +6,10 @@ one is reported only if a part of another role (identifier, secret, endpoint)
 lies within its scope, an interval of ``SCOPE`` code points around it.  The
 interval join is a sort-merge sweep over one text's parts: sorted by start, a
 forward pass carries the furthest end seen of each role and a backward pass the
-nearest start, so each part meets its neighbours in linear time.  All of it is
-built-in expressions over one row; nothing is shuffled.
+nearest start, so each part meets its neighbours in linear time, however many matches a text has.
+All of it is built-in expressions over one row; nothing is shuffled.
 
-Defined results: a null text counts as empty (no spans); texts of any length are
+Defined results: a null text counts as empty (no spans); an empty table gives an empty result; texts of any length are
 scanned whole; repeated rows are scanned alike; other columns are ignored or, in
 :func:`redact_secrets`, passed through.  A weak part that overlaps a strong one
 is dropped, as the strong one covers it.
@@ -22,10 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._rows import carry, fenced, uncarry
+from sparkloom.llm._rows import carry, fenced, scan, uncarry
 
 #: Code points on either side of a weak part within which a complement counts.
 SCOPE = 200
+#: Code points of a chunk of a text that is cut up.
+CHUNK = 1024
 
 
 @dataclass(frozen=True)
@@ -59,11 +61,12 @@ ROLES = ("identifier", "secret", "endpoint")
 #: Cheap substring tests that each match of a kind passes.
 NEEDS = {"access": "AKIA", "endpoint": "://"}
 
-_PARTS = "array<struct<start:bigint,kind:int,end:bigint>>"
+_PART = "struct<start:bigint,kind:int,end:bigint>"
+_STEP = "struct<n:int,ok:boolean,gap:int>"
 
 
-def kind_spans(text: Column, order: int, kind: Kind) -> Column:
-    """The spans of one kind: matches of its pattern, placed by the pieces between them.
+def kind_steps(text: Column, kind: Kind) -> Column:
+    """The matches of one kind, each with its length, the length of the piece before it and whether it counts.
 
     ``split`` and ``regexp_extract_all`` walk the same leftmost non-overlapping
     matches, so lengths of pieces and matches add up to code-point offsets.
@@ -75,19 +78,23 @@ def kind_spans(text: Column, order: int, kind: Kind) -> Column:
     if kind.also:
         checked = lambda v: _all([v.rlike(p) for p in kind.also])
     steps = F.zip_with(F.zip_with(found, value, lambda m, v: F.struct(F.length(m).alias("n"), checked(v).alias("ok"))), gaps, lambda m, g: F.struct(m["n"].alias("n"), m["ok"].alias("ok"), F.length(g).alias("gap")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_PARTS).alias("out"))
+    test = text.rlike(kind.pattern)
+    if kind.name in NEEDS:
+        test = text.contains(NEEDS[kind.name]) & test
+    return F.when(test, steps).otherwise(F.array().cast(f"array<{_STEP}>"))
 
-    def step(acc: Column, x: Column) -> Column:
+
+def kind_spans(steps: str, order: int) -> Column:
+    """The spans of the matches in the column ``steps``: a running sum places them."""
+
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         begin = acc["at"] + x["gap"]
         span = F.struct(begin.alias("start"), F.lit(order).alias("kind"), (begin + x["n"]).alias("end"))
         # The piece after the last match has no match of its own: n is null there.
-        return F.struct((begin + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return {"at": begin + F.coalesce(x["n"], F.lit(0))}, F.when(x["ok"], F.array(span)).otherwise(F.array().cast(f"array<{_PART}>"))
 
-    spans = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    test = text.rlike(kind.pattern)
-    if kind.name in NEEDS:
-        test = text.contains(NEEDS[kind.name]) & test
-    return F.when(test, spans).otherwise(F.array().cast(_PARTS))
+    none = F.array().cast(f"array<{_PART}>")
+    return F.when(F.size(steps) > 0, scan(steps, {"at": F.lit(0).cast("long")}, step, _PART)).otherwise(none)
 
 
 def _all(tests: list[Column]) -> Column:
@@ -112,43 +119,42 @@ def _strong(kind: Column) -> Column:
     return kind < sum(k.strong for k in KINDS)
 
 
-def _sweep(parts: Column, ahead: bool, scope: int) -> Column:
+def _sweep(parts: str, ahead: bool, scope: int) -> Column:
     """For each part, in the order of ``parts``: is a complement near, does a strong part overlap.
 
     Backward, the roles' nearest starts take the part of the furthest ends.
     """
     far = F.lit(-(2**62) if ahead else 2**62).cast("long")
-    flags = F.array().cast("array<struct<near:boolean,covered:boolean>>")
-    start = F.struct(*[far.alias(r) for r in ROLES], far.alias("strong"), flags.alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
+    def step(acc: Column, p: Column) -> tuple[dict[str, Column], Column]:
         role = _role(p["kind"])
         best = F.greatest if ahead else F.least
         edge = p["end"] if ahead else p["start"]
         reach = (lambda x: x >= p["start"] - scope) if ahead else (lambda x: x <= p["end"] + scope)
         near = _any([(role != i) & reach(acc[r]) for i, r in enumerate(ROLES)])
         covered = acc["strong"] > p["start"] if ahead else acc["strong"] < p["end"]
-        return F.struct(
-            *[F.when(role == i, best(acc[r], edge)).otherwise(acc[r]).alias(r) for i, r in enumerate(ROLES)],
-            F.when(_strong(p["kind"]), best(acc["strong"], edge)).otherwise(acc["strong"]).alias("strong"),
-            F.concat(acc["out"], F.array(F.struct(near.alias("near"), covered.alias("covered")))).alias("out"),
-        )
+        after = {r: F.when(role == i, best(acc[r], edge)).otherwise(acc[r]) for i, r in enumerate(ROLES)}
+        after["strong"] = F.when(_strong(p["kind"]), best(acc["strong"], edge)).otherwise(acc["strong"])
+        return after, F.array(F.struct(near.alias("near"), covered.alias("covered")))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    swept = scan(parts, {r: far for r in (*ROLES, "strong")}, step, "struct<near:boolean,covered:boolean>")
+    return F.when(F.col(parts).isNotNull(), swept)
 
 
 def find(df: DataFrame, text_col: str, scope: int = SCOPE) -> DataFrame:
     """Every row (as ``__row``) with ``__text``, ``__base`` and ``__spans`` sorted by start and kind."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = carry(df, __text=text)
-    t = F.col("__text")
-    strong = [kind_spans(t, i, k) for i, k in enumerate(KINDS) if k.strong]
-    weak = [kind_spans(t, i, k) for i, k in enumerate(KINDS) if not k.strong]
-    out = out.withColumns({"__base": F.sort_array(F.concat(*strong)), "__weak": F.concat(*weak)})
-    linked = F.col("__parts")
-    out = out.withColumn("__parts", F.when(F.size("__weak") > 0, F.sort_array(F.concat("__base", "__weak"))))
-    out = out.withColumns({"__fore": _sweep(linked, True, scope), "__back": _sweep(F.reverse(linked), False, scope)})
+    out = out.withColumns({f"__steps{i}": kind_steps(F.col("__text"), k) for i, k in enumerate(KINDS)})
+    spans = [kind_spans(f"__steps{i}", i) for i in range(len(KINDS))]
+    strong = [s for s, k in zip(spans, KINDS, strict=True) if k.strong]
+    weak = [s for s, k in zip(spans, KINDS, strict=True) if not k.strong]
+    out = out.withColumns({"__base": F.sort_array(F.concat(*strong)), "__weak": F.concat(*weak)}).drop(*[f"__steps{i}" for i in range(len(KINDS))])
+    out = out.withColumn("__parts", F.when(F.size("__weak") > 0, F.sort_array(F.concat("__base", "__weak")))).drop("__weak")
+    out = out.withColumn("__turned", F.reverse("__parts"))
+    out = out.withColumns({"__fore": _sweep("__parts", True, scope), "__back": _sweep("__turned", False, scope)})
     out = out.withColumn("__back", F.reverse("__back"))
+    linked = F.col("__parts")
     judged = F.filter(
         linked,
         lambda p, i: _strong(p["kind"])
@@ -181,20 +187,26 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[REDACTED
     A column ``n_chars``, where there is one, becomes the new length of a changed text.
     """
     out = find(df, text_col, scope)
-    t, spans = F.col("__text"), F.col("__spans")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    piece = lambda a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
-
-    def step(acc: Column, p: Column) -> Column:
+    hit = F.size("__spans") > 0
+    # Chunks of a fixed number of code points: pieces are cut out without counting from the start of the text.
+    out = out.withColumn("__chunks", F.when(hit, F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+    def piece(a: Column, b: Column) -> Column:
+        """Code points a to b."""
+        first = F.floor(a / CHUNK)
+        part = F.array_join(F.slice("__chunks", (first + 1).cast("int"), (F.floor(F.greatest(b - 1, a) / CHUNK) - first + 1).cast("int")), "")
+        # A second mention of the column keeps the optimizer from cutting the text anew for each piece.
+        return F.when(F.size("__chunks") > 0, F.substring(part, (a - first * CHUNK + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
+
+    def step(acc: Column, p: Column) -> tuple[dict[str, Column], Column]:
         fresh = p["start"] >= acc["at"]  # else it overlaps the span before
-        return F.struct(
-            F.greatest(acc["at"], p["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(piece(acc["at"], p["start"]), F.lit(mark)))).otherwise(acc["out"]).alias("out"),
-        )
-
-    done = lambda acc: F.array_join(F.concat(acc["out"], F.array(piece(acc["at"], F.length(t).cast("long")))), "")
-    hit = F.size(spans) > 0
-    out = out.withColumn("__clean", F.when(hit, F.aggregate(spans, start, step, done)).otherwise(F.col(f"__row.`{text_col}`")))
+        new = F.when(fresh, F.array(piece(acc["at"], p["start"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+        return {"at": F.greatest(acc["at"], p["end"])}, new
+
+    out = out.withColumn("__pieces", F.when(hit, scan("__spans", {"at": F.lit(0).cast("long")}, step, "string")))
+    last = F.array_max(F.transform("__spans", lambda p: p["end"]))
+    clean = F.array_join(F.concat("__pieces", F.array(piece(last, F.length("__text").cast("long")))), "")
+    out = out.withColumn("__clean", F.when(hit, clean).otherwise(F.col(f"__row.`{text_col}`")))
     row = F.col("__row").withField(text_col, F.col("__clean"))
     if "n_chars" in df.columns:
         row = row.withField("n_chars", F.when(hit, F.length("__clean").cast(df.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars")))

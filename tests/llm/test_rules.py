@@ -81,6 +81,24 @@ def test_redaction(spark):
     assert again.where("n_access > 0 OR n_assign > 0 OR n_hex > 0").count() == 0
 
 
+def test_secrets_in_long_lists(spark):
+    many = " ".join(f"AKIA{i:012d} é {'login=me ' * (i % 3 == 0)}{'password=abcdefgh%d' % i * (i % 7 == 0)}" for i in range(3_000))
+    df = docs(spark, [many, many[: len(many) // 2], "x"])
+    compare(secret_scan(df), by_sql("op5_secret_scan", {"documents": df.select("doc_id", "text").toPandas()}))
+    row = secret_scan(df).where("doc_id = 1").first()
+    at = [m.span() for m in re.finditer("AKIA[A-Z0-9]{12,}", many)]
+    told = [tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(",") if x.startswith("access")]
+    assert told == at and len(at) == 3_000
+    clean = redact_secrets(df).where("doc_id = 1").first()
+    spans = sorted(tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(","))
+    out, last = [], 0
+    for a, b in spans:
+        if a >= last:
+            out += [many[last:a], "[REDACTED]"]
+        last = max(last, b)
+    assert clean["text"] == "".join([*out, many[last:]]) and clean["n_chars"] == len(clean["text"])
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://ORG", "http://org/", "https://www.Example.org/es/a?b#c", "http://example.org/en/12", "http://notexample.org/en/12", "http://example.org/en/2",
     "http://a.b.c.d.com/fr/x", "http://com/de/", "http://x.com?de/", "http://spam-farm.example.net/q", "http://spam-farm.example.org/es/", "x://y://z.org/a", "http://example.org/es0", "http://.org/", "http://org./x",
