@@ -9,13 +9,14 @@ with the innermost rule; then URL keys and segment bounds are sorted together
 and each key takes the last bound before it.  Over all ancestors of a host the
 longest rule wins.
 
-Rows of a popular host are split over salts that grow with the table; bounds are
-few and go to every salt.  Identical URLs of one page id are counted, not
-repeated, until the end.
+A popular host's keys are split over salts: as many as its rows need, but no more than its rows
+are times its bounds, so that the copies of the bounds never outgrow the keys.  Bounds go only to the salts of
+their own host, hosts without URLs drop out, and a host of a few URLs has one salt.  The rules may be many: they
+are sorted host by host and written as a table.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and fits no rule; hosts of any length are looked up only as deep as rules go;
-repeated rows come back as often as they came; other columns are ignored.
+repeated rows come back as often as they came; an empty table gives an empty result; without rules every verdict is the default; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.session import materialize
+
 
 @dataclass(frozen=True)
 class UrlRule:
@@ -57,24 +60,31 @@ OWN_RULES: tuple[UrlRule, ...] = (
     UrlRule("spam-farm.example.net", "/", "block"),
     UrlRule("spam-farm.example.org", "/", "block"),
 )
-SALTS = 1024
+#: URL keys of a host that are swept in one group.
 ROWS_PER_SALT = 20_000
 
 
-def _after(prefix: str) -> str:
-    """The first path, in code-point order, behind all those that start with ``prefix``."""
+def _after(prefix: str) -> str | None:
+    """The first path, in code-point order, behind all those that start with ``prefix``; None if there is none."""
+    prefix = prefix.rstrip("\U0010FFFF")
+    if not prefix:
+        return None
     last = ord(prefix[-1]) + 1
     return prefix[:-1] + chr(0xE000 if last == 0xD800 else last)
 
 
 def segments(rules: Sequence[UrlRule], tier: int) -> list[tuple]:
     """Bounds (tier, reversed host, path, rule, verdict, length) from a sweep with a stack."""
-    out = []
-    for host in sorted({r.reversed_host for r in rules}):
-        own = sorted({r.path: r for r in rules if r.reversed_host == host}.values(), key=lambda r: r.path)
+    hosts: dict[str, dict[str, UrlRule]] = {}
+    for rule in rules:
+        hosts.setdefault(rule.reversed_host, {})[rule.path] = rule
+    out: list[tuple] = []
+    for host in sorted(hosts):
         stack: list[UrlRule] = []
 
-        def bound(path: str, host: str = host, stack: list[UrlRule] = stack) -> None:
+        def bound(path: str | None, host: str = host, stack: list[UrlRule] = stack) -> None:
+            if path is None:  # nothing comes behind
+                return
             top = stack[-1] if stack else None
             row = (tier, host, path, top and top.name, top and top.verdict, len(top.name) if top else None)
             if out and out[-1][:3] == row[:3]:
@@ -82,7 +92,7 @@ def segments(rules: Sequence[UrlRule], tier: int) -> list[tuple]:
             else:
                 out.append(row)
 
-        for rule in own:
+        for _, rule in sorted(hosts[host].items()):
             while stack and not rule.path.startswith(stack[-1].path):
                 end = _after(stack.pop().path)
                 bound(end)
@@ -116,37 +126,33 @@ def url_filter(
 ) -> DataFrame:
     """One row per input row: id, host, path, the longest fitting rule and the verdict."""
     spark: SparkSession = df.sparkSession
-    pages = url_parts(df, url_col, id_col).groupBy("id", "host", "path").agg(F.count("*").alias("copies"))
-    bounds = segments(rules, 0) + segments(own_rules, 1)
-    depth = max((r.host.count(".") + 1 for r in (*rules, *own_rules)), default=0)
-    # Salts by the size of the table: a host's rows per task stay about ROWS_PER_SALT.
-    salts = max(SALTS, -(-df.count() // ROWS_PER_SALT))
+    # The scan's partition spreads rows that are alike in everything.
+    pages = url_parts(df, url_col, id_col).withColumn("spot", F.spark_partition_id())
     columns = "tier int, anc string, key string, rule string, verdict string, length int"
-    bound_rows = spark.createDataFrame(bounds, columns)
-    hosts = bound_rows.select("tier", "anc").distinct().unionAll(spark.createDataFrame([(-1, "")], "tier int, anc string"))
-    # Every page also sends one row to tier -1, where there are no rules, so that none is lost.
-    labels = F.slice(F.reverse(F.split("host", r"\.")), 1, max(depth, 1))
-    looks = (
-        pages.withColumn("labels", labels)
-        .withColumn("anc", F.explode(F.concat(F.array(F.lit("")), F.transform("labels", lambda _, i: F.array_join(F.slice("labels", F.lit(1), i + 1), ".")))))
-        .drop("labels")
-        .join(hosts, "anc")
-        .select("tier", "anc", F.col("path").alias("key"), F.lit(1).alias("side"), "id", "host", "copies", F.lit(None).cast("struct<rule:string,verdict:string,length:int>").alias("bound"))
-        .withColumn("salt", F.pmod(F.xxhash64("id", "host", "key"), F.lit(salts)))
+    bounds = materialize(spark.createDataFrame(segments(rules, 0) + segments(own_rules, 1), columns).coalesce(1), "rules")
+    depth = max((r.host.count(".") + 1 for r in (*rules, *own_rules)), default=1)
+    labels = F.slice(F.reverse(F.split("host", r"\.")), 1, depth)
+    tails = pages.withColumn("labels", labels).withColumn("anc", F.explode(F.transform("labels", lambda _, i: F.array_join(F.slice("labels", F.lit(1), i + 1), "."))))
+    hosts = bounds.groupBy("tier", "anc").agg(F.count("*").alias("bounds"))
+    seen = tails.groupBy("anc").agg(F.count("*").alias("rows"))
+    most = F.greatest(F.col("bounds"), F.lit(ROWS_PER_SALT))
+    dealt = materialize(seen.join(hosts, "anc").select("tier", "anc", F.ceil(F.col("rows") / most).cast("long").alias("salts")), "salts")
+    looks = tails.join(dealt, "anc").select(
+        *("tier", "anc", F.col("path").alias("key"), F.lit(1).alias("side"), "id", "host"),
+        F.lit(None).cast("struct<length:int,rule:string,verdict:string>").alias("bound"),
+        F.pmod(F.xxhash64("id", "host", "path", "spot"), F.col("salts")).alias("salt"),
     )
-    spread = bound_rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).select(
-        *("tier", "anc", "key", F.lit(0).alias("side"), F.lit(None).cast(df.schema[id_col].dataType).alias("id")),
-        *(F.lit(None).cast("string").alias("host"), F.lit(None).cast("long").alias("copies")),
-        *(F.struct("rule", "verdict", "length").alias("bound"), "salt"),
+    spread = bounds.join(dealt, ["tier", "anc"]).select(
+        *("tier", "anc", "key", F.lit(0).alias("side"), F.lit(None).cast(df.schema[id_col].dataType).alias("id"), F.lit(None).cast("string").alias("host")),
+        F.struct("length", "rule", "verdict").alias("bound"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
     )
     order = Window.partitionBy("tier", "anc", "salt").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, 0)
-    swept = looks.unionByName(spread).withColumn("active", F.last("bound", ignorenulls=True).over(order)).where("side = 1")
-    found = F.when(F.col("active.rule").isNotNull(), F.col("active"))
-    best = swept.groupBy("id", "host", F.col("key").alias("path")).agg(
-        F.max("copies").alias("copies"),
-        F.max_by(F.when(F.col("tier") == 0, found), F.when(F.col("tier") == 0, found["length"])).alias("given"),
-        F.max_by(F.when(F.col("tier") == 1, found), F.when(F.col("tier") == 1, found["length"])).alias("own"),
-    )
+    swept = looks.unionByName(spread).withColumn("active", F.last("bound", ignorenulls=True).over(order)).where("side = 1 AND active.rule IS NOT NULL")
+    hits = swept.select("id", "host", F.col("key").alias("path"), F.lit(0).cast("long").alias("copies"), *[F.when(F.col("tier") == t, F.col("active")).alias(name) for t, name in enumerate(("given", "own"))])
+    none = F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
+    every = pages.select("id", "host", "path", F.lit(1).cast("long").alias("copies"), none.alias("given"), none.alias("own"))
+    best = every.unionAll(hits).groupBy("id", "host", "path").agg(F.sum("copies").alias("copies"), F.max("given").alias("given"), F.max("own").alias("own"))
     return best.select(
         F.col("id").alias(id_col),
         *("host", "path", F.col("given.rule").alias("rule")),
