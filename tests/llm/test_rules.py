@@ -1,3 +1,4 @@
+import random
 import re
 import subprocess
 import sys
@@ -124,6 +125,29 @@ def test_url_rules_nest(spark):
         assert r["rule"] == max(fits, key=len, default=None)
 
 
+def test_many_url_rules(spark, monkeypatch):
+    from sparkloom.llm import url_filter as module
+
+    monkeypatch.setattr(module, "ROWS_PER_SALT", 7)
+    rng = random.Random(6)
+    part = lambda n: "".join(rng.choice("abc/") for _ in range(rng.randint(0, n)))
+    hosts = [f"h{i}.example" for i in range(3_000)] + ["example", "hot.example", "\U0010FFFF"]
+    rules = [module.UrlRule(rng.choice(hosts), "/" + part(6), rng.choice(["allow", "block"])) for _ in range(100_000)]
+    rules = list({(r.host, r.path): r for r in rules}.values()) + [module.UrlRule("hot.example", "/" + "\U0010FFFF" * 2, "block"), module.UrlRule("hot.example", "", "allow")]
+    known = {(r.host, r.path): r for r in rules}
+    urls = [f"http://{rng.choice(['', 'x.'])}{rng.choice([*hosts[:40], 'hot.example', 'hot.example'])}/{part(9)}" for _ in range(400)] + ["http://hot.example/a"] * 200
+    df = spark.createDataFrame([(i % 350, u, "r", "v", "h") for i, u in enumerate(urls)], "page_id long, url string, rule string, verdict string, host string")
+    found = sorted(tuple(r) for r in url_filter(df, rules=rules, own_rules=()).collect())
+    expected = []
+    for i, u in enumerate(urls):
+        host, _, path = u[7:].partition("/")
+        path, labels = "/" + path, host.split(".")
+        fits = [known[h, path[:n]] for k in range(len(labels)) for h in [".".join(labels[k:])] for n in range(len(path) + 1) if (h, path[:n]) in known]
+        best = max(fits, key=lambda r: (len(r.name), r.name), default=None)
+        expected.append((i % 350, host, path, best.name if best else "", best.verdict if best else "allow"))
+    assert [(a, b, c, d or "", e) for a, b, c, d, e in found] == sorted(expected)
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in (REPO / "sparkloom").rglob("*.py"):
         if "llm" not in path.parts:

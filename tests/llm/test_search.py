@@ -48,6 +48,23 @@ def test_top_k_in_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, top_k(df, every=3).collect())) == plain_top(rows, 3, 5)
 
 
+def test_top_k_of_many_components(spark, monkeypatch):
+    from sparkloom.llm import top_k as module
+
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=23) * np.linspace(3, 0.1, 23)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for basis, gram in ((512, 1 << 22), (5, 1 << 22), (512, 50)):  # one rotation, runs of coordinates, runs of two
+        monkeypatch.setattr(module, "BASIS", basis)
+        monkeypatch.setattr(module, "GRAM", gram)
+        monkeypatch.setattr(module, "PAIR_BYTES", 4_000)
+        monkeypatch.setattr(module, "BLOCK_BYTES", 8 * 23 * 11)
+        assert sorted(map(tuple, top_k(df, every=10).collect())) == plain_top(rows, 10, 5)
+    wide = [(i, rng.normal(size=5_000).tolist()) for i in range(12)]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, top_k(df, every=6).collect())) == plain_top(wide, 6, 5)
+
+
 def brute_classes(rows):
     """Smallest id of each class of equal word sequences and of pairs that align."""
     kmers, parent = {}, {}
