@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from sparkloom.llm import queries as llm
-from sparkloom.llm.license_scan import license_scan
+from sparkloom.llm.license_scan import TEMPLATES, license_scan
 from sparkloom.llm.quality_rules import quality_filter, quality_rules
 from sparkloom.llm.secret_scan import redact_secrets, secret_scan
 from sparkloom.llm.url_filter import url_filter
@@ -44,6 +44,8 @@ LICENSE_TEXTS = [
     *ODD, "Under the MIT License.", "under the mit-license under THE mit license", "Apache License, Version 2.0; CC BY-NC 4.0", "cc by nc by nc cc by nc",
     "This is under the GNU General Public License, version 3. All rights reserved", "K license under the mit licenseé", "İunder the mit license",
     "Permission is hereby granted, free of charge, to any one obtaining a copy of that software",
+    *[" ".join(t.words) for t in TEMPLATES], " ".join(TEMPLATES[17].words[20:]), " ".join(TEMPLATES[19].words[:40]) + " apache license version 2 apache license version 2",
+    " ".join("x" if k % 9 == 0 else w for k, w in enumerate(TEMPLATES[21].words)), "hereby granted free of charge to anyone", "source and binary forms",
 ]
 SECRET_TEXTS = [
     *ODD, "password=12345678", "PassWord : 'short' token = \"abcdefgh12\"", "password: token: abcdefghijk", "éé AKIAABCDEFGHIJKL12 AKIAAB", "deadbeef" * 4 + "g", "token=" + "ab" * 20,
