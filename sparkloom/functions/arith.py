@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +32,15 @@ def priority(vertex: Column, signed: bool = False) -> Column:
     return wrap32(p) if signed else p
 
 
+def priorities(n: int, signed: bool = False) -> np.ndarray:
+    """The priorities of the vertices 0 to n-1."""
+    x = (np.arange(n, dtype=np.uint64) + np.uint64(PRIORITY_SEED)) & np.uint64(MASK)
+    for _ in range(2):
+        x = ((x >> np.uint64(16)) ^ x) * np.uint64(HASH_MULTIPLIER) & np.uint64(MASK)
+    out = ((x >> np.uint64(16)) ^ x).astype(np.int64)
+    return np.where(out >= HALF, out - (MASK + 1), out) if signed else out
+
+
 def arc_weight(src: Column, dst: Column, vertices: int) -> Column:
     """The weight of an arc without one: a wrapped product, its truncated remainder, made positive."""
     return F.abs(F.lit(1) + wrap32(src * dst) % F.lit(vertices))

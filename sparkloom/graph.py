@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.arith import arc_weight
-from sparkloom.session import materialize, table
+from sparkloom.session import discard, materialize, table
 
 
 @dataclass(frozen=True)
 class Graph:
     """Vertices are the ids 0 to n-1; ``edges`` holds arcs (src, dst) and perhaps ``weight``.
 
-    An undirected edge is stored as two arcs.
+    An undirected edge is stored as two arcs.  ``directed`` is False only where that is known of all
+    arcs; algorithms that are about undirected edges otherwise add the reverse arcs themselves.
     """
 
     edges: DataFrame
     n: int
+    directed: bool = True
 
     @property
     def spark(self) -> SparkSession:
@@ -42,7 +44,11 @@ class Graph:
         """Each arc and its reverse, once."""
         swap = {"src": "dst", "dst": "src"}
         back = self.edges.select(*[F.col(swap.get(c, c)).alias(c) for c in self.edges.columns])
-        return replace(self, edges=self.edges.unionAll(back)).dedup()
+        return replace(self, edges=self.edges.unionAll(back), directed=False).dedup()
+
+    def undirected(self) -> Graph:
+        """The graph itself if each arc is known to have its reverse, else with the reverse arcs."""
+        return self.symmetrize() if self.directed else self
 
     def weighted(self) -> Graph:
         """Weights as they are, or generated from the ends of each arc."""
@@ -54,6 +60,10 @@ class Graph:
         """Arcs written once to shared storage: every superstep reads them, none recomputes them."""
         return replace(self, edges=materialize(self.edges, "edges"))
 
+    def free(self) -> None:
+        """Delete what :meth:`prepared` wrote."""
+        discard(self.edges)
+
     def adjacency(self) -> DataFrame:
         """(id, nbrs): the ascending neighbours of each vertex that has any."""
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
@@ -110,6 +120,15 @@ def copurchase(spark: SparkSession, sf_dir: str, least: int = 40) -> Graph:
     lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_partkey").distinct()
     a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
     arcs = a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
+    return Graph(arcs, table(spark, sf_dir, "part").count(), directed=False)
+
+
+def line_order(spark: SparkSession, sf_dir: str, least: int = 40) -> Graph:
+    """A directed graph: from each part to those in later lines of an order, both with a quantity of ``least`` or more."""
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
+    a = lines.select("l_orderkey", F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("src"))
+    b = lines.select("l_orderkey", F.col("l_linenumber").alias("j"), F.col("l_partkey").alias("dst"))
+    arcs = a.join(b, "l_orderkey").where("i < j AND src <> dst").select("src", "dst").distinct()
     return Graph(arcs, table(spark, sf_dir, "part").count())
 
 

@@ -1,13 +1,13 @@
-"""The superstep loop: a plan per step, its result cut off from its lineage."""
+"""Supersteps: a plan per step, its result cut off from its lineage, and its counts from the write itself."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
-from sparkloom.session import discard, materialize
+from sparkloom.session import materialize
 
 
 @dataclass
@@ -18,17 +18,16 @@ class Run:
     rounds: int
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: str = "changed", max_rounds: int = 10_000, label: str = "state") -> Run:
-    """Apply ``step`` until no row has the flag ``changed``.
-
-    Each step's result is one table in shared storage: the next step reads it, an
-    executor that is lost costs one step, and the step before is deleted.
-    """
-    state = materialize(state, label)
-    for k in range(1, max_rounds + 1):
-        if state.where(changed).isEmpty():
-            return Run(state, k - 1)
-        new = materialize(step(state, k), label)
-        discard(state)
-        state = new
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+def written(df: DataFrame, label: str, value: Column) -> tuple[DataFrame, float]:
+    """The rows as a table in shared storage, and an aggregate of them that the write observes."""
+    seen = Observation()
+    out = materialize(df.observe(seen, value.alias("value")), label)
+    found = seen.get.get("value") if seen.get else None
+    if found is None:  # nothing was written, or the metric got lost
+        found = out.agg(value.alias("value")).first()["value"]
+    return out, found or 0
+
+
+def slots(df: DataFrame, rows: int) -> int:
+    """Partitions for ``rows`` narrow rows: as many as there are cores, and more where a partition would be large."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // 4_000_000))

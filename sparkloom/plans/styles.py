@@ -1,7 +1,8 @@
 """Styles: the physical choices of a plan, and which go together.
 
-All styles of an algorithm give one result; they differ in what is joined and
-how it is partitioned and reduced.
+All styles of an algorithm give one result; each axis changes what is joined, or
+how it is laid out, partitioned or reduced.  Execution is bulk-synchronous, so there is
+no axis of determinism: every style is deterministic.
 """
 
 from __future__ import annotations
@@ -10,23 +11,26 @@ import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 ALGORITHMS = ("bfs", "sssp", "cc", "mis", "pr", "tc")
-MODELS = ("cpp", "omp", "cuda")
 
 
 @dataclass(frozen=True)
 class Style:
-    """vertex or edge; topo or data; push or pull; rw or rmw; det or nondet; dup or nondup;
-    schedule block, cyclic, default, dynamic (CPU), persist, nonpersist (GPU);
-    unit thread, warp, block (GPU); reduction of sums."""
+    """granularity: arcs as rows, or lists of arcs by vertex; drive: all vertices or those that changed;
+    flow: arcs laid out by the end that sends (push) or that receives (pull); update: compare with the state before
+    or after messages are combined; worklist: distinct messages or one per vertex; schedule: ranges, residues or hashes
+    of vertices, four times the partitions, arcs kept in memory or read again each step; unit: most arcs of
+    one list; reduction of sums: one aggregate, a sum per partition first, or a metric of the write."""
 
-    granularity: str = "vertex"
+    granularity: str = "edge"
     drive: str = "data"
     flow: str = "push"
     update: str = "rmw"
-    determinism: str = "det"
     worklist: str = "nondup"
-    schedule: str = "cyclic"
+    schedule: str = "default"
     unit: str = "thread"
     reduction: str = "reduction"
 
@@ -45,49 +49,48 @@ CHOICES = {
     "drive": ("topo", "data"),
     "flow": ("push", "pull"),
     "update": ("rw", "rmw"),
-    "determinism": ("det", "nondet"),
     "worklist": ("dup", "nondup"),
-    "schedule": ("block", "cyclic", "default", "dynamic", "persist", "nonpersist"),
+    "schedule": ("block", "cyclic", "default", "dynamic", "nonpersist"),
     "unit": ("thread", "warp", "block"),
-    "reduction": ("atomic", "critical", "reduction", "global", "block"),
+    "reduction": ("reduction", "block", "global"),
 }
 #: Axes that an algorithm has; the others keep their defaults.
 AXES = {
-    "bfs": ("granularity", "drive", "flow", "update", "determinism", "worklist", "schedule"),
-    "sssp": ("granularity", "drive", "flow", "update", "determinism", "worklist", "schedule"),
-    "cc": ("granularity", "drive", "flow", "update", "determinism", "worklist", "schedule"),
-    "mis": ("granularity", "drive", "flow", "determinism", "schedule"),
-    "pr": ("flow", "determinism", "schedule", "reduction"),
-    "tc": ("granularity", "schedule", "reduction"),
+    "bfs": ("granularity", "drive", "flow", "update", "worklist", "schedule", "unit"),
+    "sssp": ("granularity", "drive", "flow", "update", "worklist", "schedule", "unit"),
+    "cc": ("granularity", "drive", "flow", "update", "worklist", "schedule", "unit"),
+    "mis": ("granularity", "drive", "flow"),
+    "pr": ("flow", "schedule", "reduction"),
+    "tc": ("granularity", "reduction"),
 }
+#: Arcs of one list, about; a hub's arcs are many lists.
+LISTS = {"thread": 1 << 16, "block": 512, "warp": 32}
 
 
 def legal(algorithm: str, style: Style) -> bool:
     """Whether the style makes sense for the algorithm."""
     plain = Style()
-    if any(getattr(style, f.name) != getattr(plain, f.name) for f in fields(style) if f.name not in AXES[algorithm] and f.name != "unit"):
-        return False
-    if style.unit != "thread" and style.schedule not in ("persist", "nonpersist"):
+    if any(getattr(style, f.name) != getattr(plain, f.name) for f in fields(style) if f.name not in AXES[algorithm]):
         return False
-    if algorithm in ("bfs", "sssp", "cc"):
-        if style.drive == "topo" and style.worklist == "dup":
-            return False  # a worklist needs a frontier
-        if style.flow == "pull" and (style.update == "rw" or style.granularity == "edge" or style.worklist == "dup"):
-            return False
-    if algorithm == "mis" and style.granularity == "edge" and style.flow == "pull":
+    if style.unit != "thread" and style.granularity != "vertex":
         return False
-    return not (algorithm == "pr" and style.flow == "push" and style.determinism == "nondet")
+    # A worklist needs a frontier.
+    return not (style.drive == "topo" and style.worklist == "dup")
 
 
 def styles(algorithm: str, **fixed: str) -> Iterator[Style]:
     """All legal styles, with some axes fixed."""
-    axes = [a for a in CHOICES if (a in AXES[algorithm] or a == "unit") and a not in fixed]
+    axes = [a for a in CHOICES if a in AXES[algorithm] and a not in fixed]
     for values in itertools.product(*(CHOICES[a] for a in axes)):
         style = Style(**dict(zip(axes, values, strict=True)), **fixed)
         if legal(algorithm, style):
             yield style
 
 
-def partitions(style: Style, base: int) -> int:
-    """How many partitions of arcs a schedule asks for, with ``base`` slots."""
-    return {"default": base, "block": base, "cyclic": base, "dynamic": 4 * base, "persist": base, "nonpersist": 4 * base}[style.schedule]
+def laid_out(arcs: DataFrame, key: str, style: Style, slots: int) -> DataFrame:
+    """Arcs partitioned by an end as the schedule says, so that supersteps need not move them."""
+    if style.schedule == "block":
+        return arcs.repartitionByRange(slots, key)
+    if style.schedule == "cyclic":
+        return arcs.repartition(slots, F.pmod(key, F.lit(slots)))
+    return arcs.repartition(4 * slots if style.schedule == "dynamic" else slots, key)

@@ -19,12 +19,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Styles that are registered as queries of their own, one for each choice of plan.
 STYLED = {
-    "bfs": (Style("edge", "topo"), Style("vertex", "topo", "pull"), Style("vertex", "data", "pull"), Style("vertex", "data", update="rw", worklist="dup"), Style("edge", "data", schedule="block")),
-    "sssp": (Style("edge", "topo"), Style("vertex", "data", "pull"), Style("edge", "data", update="rw", worklist="dup", schedule="dynamic")),
-    "cc": (Style("edge", "topo"), Style("vertex", "data"), Style("vertex", "topo", "pull", schedule="block")),
-    "mis": (Style("edge", "topo"), Style("vertex", "topo", "pull"), Style("vertex", "data", "pull"), Style("edge", "data")),
-    "pr": (Style(flow="pull"), Style(schedule="dynamic")),
-    "tc": (Style("edge"), Style("vertex", reduction="block"), Style("edge", reduction="critical")),
+    "bfs": (Style(), Style("edge", "topo"), Style("vertex", "topo", "pull"), Style("vertex", unit="warp"), Style("vertex", update="rw", worklist="dup"), Style(schedule="block")),
+    "sssp": (Style(), Style("edge", "topo"), Style("vertex", flow="pull", unit="block"), Style(update="rw", worklist="dup", schedule="dynamic"), Style(schedule="nonpersist")),
+    "cc": (Style(), Style("edge", "topo"), Style("vertex", "topo", "pull", schedule="block"), Style(schedule="cyclic")),
+    "mis": (Style(), Style("edge", "topo"), Style("vertex", "topo", "pull"), Style("vertex", "data", "pull")),
+    "pr": (Style(), Style(flow="pull"), Style(schedule="dynamic", reduction="block"), Style(reduction="global")),
+    "tc": (Style("edge"), Style("vertex", reduction="block"), Style("edge", reduction="global")),
 }
 
 
@@ -36,7 +36,7 @@ def _tagged(spark: SparkSession) -> DataFrame:
     return results.parse_tags(sample_results(spark))
 
 
-def _ranks(g: Graph, style: Style = Style()) -> DataFrame:
+def _ranks(g: Graph, style: Style | None = None) -> DataFrame:
     return rank.pagerank(g, style=style).select("id", F.round("score", 12).alias("score"))
 
 
@@ -102,7 +102,7 @@ def queries() -> dict[str, Query]:
     }
     for algorithm, chosen in STYLED.items():
         for style in chosen:
-            own = "_".join(v for v in (style.granularity, style.drive, style.flow, style.update, style.worklist, style.schedule, style.reduction))
+            own = "_".join(v for v in (style.granularity, style.drive, style.flow, style.update, style.worklist, style.schedule, style.unit, style.reduction))
             out[f"{algorithm}_style_{own}"] = _styled(algorithm, style)
     return out
 

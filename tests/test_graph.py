@@ -10,7 +10,7 @@ from tests import graphs as G
 
 def make(spark, name):
     n, arcs = G.GRAPHS[name]
-    return Graph(spark.createDataFrame(arcs, "src long, dst long"), n)
+    return Graph(spark.createDataFrame(arcs, "src long, dst long"), n, directed=False)
 
 
 def pairs(df):
@@ -41,11 +41,12 @@ def test_independent_set_forks(spark, signed):
 
 
 SOME = [
-    ("bfs", Style("edge", "topo")), ("bfs", Style("vertex", "topo", "pull")), ("bfs", Style(update="rw", worklist="dup", schedule="block")),
-    ("sssp", Style("edge", "data", update="rw", worklist="dup")), ("sssp", Style("vertex", "data", "pull", schedule="dynamic")),
-    ("cc", Style("edge", "topo", update="rw")), ("cc", Style("vertex", "data", "pull")),
-    ("mis", Style("edge", "topo")), ("mis", Style("vertex", "data", "pull")),
-    ("tc", Style("edge", reduction="critical")), ("tc", Style("vertex", reduction="block")),
+    ("bfs", Style()), ("bfs", Style("edge", "topo")), ("bfs", Style("vertex", "topo", "pull", unit="warp")), ("bfs", Style("vertex", update="rw", worklist="dup", schedule="block")),
+    ("sssp", Style("edge", "data", update="rw", worklist="dup")), ("sssp", Style("vertex", "data", "pull", schedule="dynamic", unit="block")), ("sssp", Style(schedule="nonpersist")),
+    ("cc", Style("edge", "topo", update="rw")), ("cc", Style("vertex", "data", "pull", schedule="cyclic")),
+    ("mis", Style("edge", "topo")), ("mis", Style("vertex", "data", "pull")), ("mis", Style("edge", "data", "pull")), ("mis", Style("vertex", "topo")), ("mis", Style()),
+    ("pr", Style(reduction="block")), ("pr", Style(flow="pull", reduction="global")),
+    ("tc", Style("edge", reduction="global")), ("tc", Style("vertex", reduction="block")),
 ]
 
 
@@ -61,10 +62,65 @@ def test_styles_give_one_result(spark, algorithm, style):
         assert pairs(relax.components(g, style)) == G.labels(n, arcs)
     elif algorithm == "mis":
         assert {r["id"]: r["status"] for r in independent_set.independent_set(g, style).collect()} == G.greedy(n, arcs)
+    elif algorithm == "pr":
+        expected, rounds = G.ranks(n, arcs)
+        found, took = rank.pagerank_rounds(g, style=style)
+        assert took == rounds and pairs(found) == pytest.approx(expected, abs=1e-12)
     else:
         assert triangles.triangles(g, style).first()[0] == G.triangle_count(n, arcs)
 
 
+def test_small_and_large_graphs_agree(spark, monkeypatch):
+    """The distributed default plans against the one-task solutions, on a graph with a hub and loose ends."""
+    from sparkloom.plans import local
+
+    n, arcs = G.random_graph(60, 0.03, 5)
+    arcs = sorted({*arcs, *G.both([(7, i) for i in range(30) if i != 7])})
+    g = Graph(spark.createDataFrame(arcs, "src long, dst long"), n, directed=False).prepared()
+    assert local.fits(g)
+    run = lambda: (pairs(relax.bfs(g, 3)), pairs(relax.sssp(g, 3)), pairs(relax.components(g)), sorted(map(tuple, independent_set.independent_set(g, signed=True).collect())), pairs(rank.pagerank(g)))
+    small = run()
+    assert small[0] == G.distances(n, arcs, 3, False) and small[2] == G.labels(n, arcs)
+    monkeypatch.setattr(local, "ARCS", 10)
+    large = run()
+    assert large[:4] == small[:4] and large[4] == pytest.approx(small[4], abs=1e-12)
+    g.free()
+
+
+def test_long_paths_merge_frontiers(spark, monkeypatch):
+    monkeypatch.setattr(relax, "MERGE", 2)
+    n, arcs = G.PATH
+    g = make(spark, "path")
+    assert pairs(relax.sssp(g, 0, Style())) == G.distances(n, arcs, 0, True)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_directed_graphs(spark, monkeypatch, small):
+    from sparkloom.plans import local
+
+    if not small:
+        monkeypatch.setattr(local, "ARCS", 0)
+    arrow = Graph(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"), 4)
+    for style in (None, Style(), Style(flow="pull"), Style("vertex", flow="pull")):
+        assert pairs(relax.bfs(arrow, 0, style)) == {0: 0, 1: 1, 2: 2, 3: None}
+        assert pairs(relax.bfs(arrow, 1, style)) == {0: None, 1: 0, 2: 1, 3: None}
+        assert pairs(relax.components(arrow, style)) == {0: 0, 1: 0, 2: 0, 3: 3}
+    ring = Graph(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 2)], "src long, dst long"), 3)
+    assert triangles.triangles(ring).first()[0] == triangles.triangles(ring, Style("vertex", reduction="global")).first()[0] == 1
+    assert sum(r["status"] == 1 for r in independent_set.independent_set(ring).collect()) == 1
+    push, pull = (pairs(rank.pagerank(arrow, style=s)) for s in (None, Style(flow="pull")))
+    assert push == pytest.approx(pull) and push[2] > push[1] > push[0]
+
+
+def test_styles_differ_in_plan(spark):
+    """What a style names shows in the plan of its arcs or its step."""
+    g = make(spark, "grid").prepared()
+    plan = lambda **kw: relax._arcs(g, Style(**kw), False)._jdf.queryExecution().optimizedPlan().toString()
+    told = {k: plan(**kw) for k, kw in {"default": {}, "block": {"schedule": "block"}, "cyclic": {"schedule": "cyclic"}, "dynamic": {"schedule": "dynamic"}, "vertex": {"granularity": "vertex"}, "pull": {"flow": "pull"}}.items()}
+    strip = lambda p: __import__("re").sub(r"#\d+L?", "", p)
+    assert len({strip(p) for p in told.values()}) == len(told)
+
+
 def test_every_algorithm_has_styles():
     counts = {a: sum(1 for _ in styles(a)) for a in ("bfs", "sssp", "cc", "mis", "pr", "tc")}
     assert all(counts.values())
