@@ -151,6 +151,61 @@ def style_summary(tagged: DataFrame, value: str = "throughput") -> DataFrame:
     return out.select("style", "n", "mean", "median", "spread", (F.col("mean") / base("mean") - 1).alias("mean_difference"), (F.col("median") / base("median") - 1).alias("median_difference"))
 
 
+def letter_values(rows: DataFrame, by: tuple[str, ...] = ("algorithm",), value: str = "ratio", depth: int = 5) -> DataFrame:
+    """(group, letter, low, high): the median, fourths, eighths and so on of a value, ``depth`` of them."""
+    ends = [0.5**k for k in range(1, depth + 1)]
+    q = F.percentile(value, F.array(*[F.lit(x) for x in ends + [1 - x for x in ends]]))
+    pairs = F.array(*[F.struct(F.lit(k + 1).alias("letter"), F.col("q")[k].alias("low"), F.col("q")[depth + k].alias("high")) for k in range(depth)])
+    return rows.groupBy(*by).agg(q.alias("q")).select(*by, F.inline(pairs))
+
+
+def named(results: DataFrame, pattern: str, keep: bool = True, name: str = "filename") -> DataFrame:
+    """The runs whose name has a match of a pattern, or those whose name has none."""
+    hit = F.coalesce(F.col(name).rlike(pattern), F.lit(False))
+    return results.where(hit if keep else ~hit)
+
+
+def _by_style(tagged: DataFrame, *columns: str) -> DataFrame:
+    """A row per run and style that it has, with the styles' flags."""
+    flags = style_flags(tagged)
+    has = F.array_compact(F.array(*[F.when(c, F.lit(tag)) for tag, c in flags.items()]))
+    every = F.array(*[F.struct(F.lit(tag).alias("other"), c.alias("with")) for tag, c in flags.items()])
+    return tagged.select(*columns, every.alias("every"), F.explode(has).alias("base"))
+
+
+def style_correlation(tagged: DataFrame, value: str = "throughput", order: str = "pos") -> DataFrame:
+    """(base, other, correlation): runs of a style without another against those with both, by place.
+
+    Runs are in the order of the table; the run at place i among those of the base style is paired with the i-th that
+    has the other style too, if the first one has it not.
+    """
+    rows = _by_style(tagged, F.col(value).alias("v"), F.col(order).alias("pos"))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+    rows = rows.withColumn("place", place("base")).select("base", "place", "pos", "v", F.inline("every"))
+    lacks = rows.where("NOT with").select("base", "other", "place", F.col("v").alias("x"))
+    has = rows.where("with").withColumn("place", place("base", "other")).select("base", "other", "place", F.col("v").alias("y"))
+    return lacks.join(has, ["base", "other", "place"]).groupBy("base", "other").agg(F.round(F.corr("x", "y"), 4).alias("correlation"))
+
+
+def merged(tagged: DataFrame, base: str, others: tuple[str, ...], value: str = "throughput", name: str = "filename") -> DataFrame:
+    """Runs of a style with a column for each other style, merged by name: those that have them all."""
+    flags = style_flags(tagged)
+    out = tagged.where(flags[base]).select(name, value)
+    for other in others:
+        out = out.join(tagged.where(flags[base] & flags[other]).select(name, F.col(value).alias(other)), name)
+    return out
+
+
+def side_by_side(frames: dict[str, DataFrame], value: str = "ratio", order: str = "pos") -> DataFrame:
+    """Columns of several tables next to one another by place; shorter ones end in nulls."""
+    out = None
+    for column, df in frames.items():
+        # One window: a figure's column has as many rows as runs were measured.
+        one = df.select(F.row_number().over(Window.orderBy(order)).alias("place"), F.col(value).alias(column))
+        out = one if out is None else out.join(one, "place", "full_outer")
+    return out
+
+
 def with_properties(tagged: DataFrame) -> DataFrame:
     """Runs with the published properties of their graph (five rows, broadcast)."""
     known = tagged.sparkSession.createDataFrame(list(GRAPH_PROPERTIES), PROPERTY_COLUMNS)
@@ -161,3 +216,10 @@ def property_correlation(tagged: DataFrame, value: str = "throughput") -> DataFr
     """Pearson correlation of throughput with each graph property, per algorithm."""
     names = [c.split()[0] for c in PROPERTY_COLUMNS.split(", ")][1:]
     return with_properties(tagged).groupBy("algorithm").agg(*[F.round(F.corr(value, F.col(c).cast("double")), 4).alias(c) for c in names])
+
+
+def style_property_correlation(tagged: DataFrame, value: str = "throughput") -> DataFrame:
+    """Pearson correlation of throughput with each graph property, per style."""
+    names = [c.split()[0] for c in PROPERTY_COLUMNS.split(", ")][1:]
+    rows = _by_style(with_properties(tagged), value, *names)
+    return rows.groupBy(F.col("base").alias("style")).agg(*[F.round(F.corr(value, F.col(c).cast("double")), 4).alias(c) for c in names])

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.arith import priority
-from sparkloom.graph import Graph, copurchase, part_supplier
+from sparkloom.graph import Graph, copurchase, line_order, part_supplier
 from sparkloom.operators import independent_set as mis
 from sparkloom.operators import rank, relax, results, triangles, verify
 from sparkloom.plans.styles import AXES, Style, styles
-from sparkloom.sources.results import parse_log
+from sparkloom.session import discard, fresh_path, materialize
+from sparkloom.sources.egr import read_egr, write_egr
+from sparkloom.sources.results import parse_log, read_logs, read_results, write_logs, write_results
 from sparkloom.sources.sample import COLUMNS, SAMPLE_LOG, sample_results, sample_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +59,43 @@ def _log(spark: SparkSession) -> DataFrame:
     return parse_log(lines, "32_2d_")
 
 
+def _egr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted graph, written to a binary file and scanned from it."""
+    g = _graph(spark, sf_dir).weighted()
+    path = fresh_path(spark, "graph") + ".egr"
+    discard(materialize(spark.range(1), "folder"))  # makes the folder
+    write_egr(g, path)
+    return read_egr(spark, path, directed=False).edges
+
+
+def _log_files(spark: SparkSession) -> DataFrame:
+    path = fresh_path(spark, "logs")
+    write_logs(spark.createDataFrame(list(enumerate(SAMPLE_LOG)), "pos long, line string"), path)
+    return read_logs(spark, path, "32_2d_")
+
+
+def _csv(spark: SparkSession) -> DataFrame:
+    path = fresh_path(spark, "csv")
+    write_results(sample_results(spark), path, "bfs")
+    return read_results(spark, path, "bfs")
+
+
+def _figure(spark: SparkSession, name: str) -> DataFrame:
+    rows = results.ratios(_tagged(spark), *results.FIGURES[name]).where("ratio > 0")
+    out = results.quantile_summary(rows)
+    return out.select("algorithm", "n", "least", "most", "quarter_low", "median", "quarter_high", "eighth_low", "eighth_high", F.round("mean", 6).alias("mean"), F.round("geomean", 6).alias("geomean"))
+
+
+def _run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run prints: algorithm, source, rounds and answer, by the distributed plans."""
+    g, style = _graph(spark, sf_dir), Style()
+    hops = relax.relax(g, spark.range(1).select("id", F.lit(0).cast("long").alias("value")), lambda v, _: v + 1, "bfs", style)
+    ranks, rounds = rank.pagerank_rounds(g, style=style)
+    answer = relax.farthest(hops.state.select("id", F.col("value").alias("dist"))).first()
+    top = ranks.orderBy(F.desc("score"), "id").first()
+    return spark.createDataFrame([("bfs", 0, hops.rounds - 1, answer["id"], float(answer["dist"])), ("pr", None, rounds, top["id"], round(top["score"], 12))], "algorithm string, source long, rounds long, vertex long, value double")
+
+
 def _sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("vertices"))
 
@@ -85,6 +124,15 @@ def queries() -> dict[str, Query]:
         "pr_scores": lambda s, d: _ranks(_graph(s, d)),
         "pr_top": lambda s, d: _ranks(_graph(s, d)).orderBy(F.desc("score"), "id").limit(10),
         "tc_total": lambda s, d: triangles.triangles(_graph(s, d)),
+        "graph_file": _egr,
+        "run_report": _run_report,
+        "directed_violations": lambda s, d: line_order(s, d).prepared().violations(),
+        "directed_bfs": lambda s, d: relax.bfs(line_order(s, d).prepared(), 1),
+        "directed_bfs_push": lambda s, d: relax.bfs(line_order(s, d).prepared(), 1, Style()),
+        "directed_bfs_pull": lambda s, d: relax.bfs(line_order(s, d).prepared(), 1, Style(flow="pull")),
+        "directed_components": lambda s, d: relax.components(line_order(s, d).prepared()),
+        "directed_components_pull": lambda s, d: relax.components(line_order(s, d).prepared(), Style("vertex", flow="pull")),
+        "directed_triangles": lambda s, d: triangles.triangles(line_order(s, d).prepared()),
         "tc_per_vertex": lambda s, d: triangles.triangles_per_vertex(_graph(s, d)),
         "verify_bfs": lambda s, d: (lambda g: verify.verify_distances(g, relax.bfs(g), 0))(_graph(s, d)),
         "verify_sssp": lambda s, d: (lambda g: verify.verify_distances(g, relax.sssp(g), 0, weighted=True))(_graph(s, d)),
@@ -99,7 +147,18 @@ def queries() -> dict[str, Query]:
         "results_matrix": lambda s, d: results.style_matrix(_tagged(s)).where("mean_ratio IS NOT NULL"),
         "results_styles": lambda s, d: results.style_summary(_tagged(s)).select("style", "n", "median", "median_difference", *[F.round(c, 6).alias(c) for c in ("mean", "spread", "mean_difference")]),
         "results_correlation": lambda s, d: results.property_correlation(_tagged(s)),
+        "results_log_files": lambda s, d: _log_files(s),
+        "results_csv": lambda s, d: _csv(s),
+        "results_named": lambda s, d: results.named(_tagged(s), "CudaAtomic", keep=False).groupBy("model").agg(F.count("*").alias("runs")),
+        "results_letters": lambda s, d: results.letter_values(results.ratios(_tagged(s), *results.FIGURES["vertex_edge"])),
+        "results_style_correlation": lambda s, d: results.style_correlation(results.named(_tagged(s), "CudaAtomic", keep=False)),
+        "results_style_properties": lambda s, d: results.style_property_correlation(_tagged(s)),
+        "results_merged": lambda s, d: results.merged(_tagged(s).withColumn("filename", F.regexp_replace("filename", "\n", "")), "V", ("Push", "Determ")),
+        "results_pivot": lambda s, d: results.pivoted(results.style_matrix(_tagged(s)), "median_ratio").select("base", "V", "E", "Topo", "Data", "Push", "Pull"),
+        "results_side_by_side": lambda s, d: results.side_by_side({"push": _tagged(s).where("flow = 'Push'"), "warp": _tagged(s).where("unit = 'Warp'")}, value="throughput"),
     }
+    for name in results.FIGURES:
+        out[f"results_figure_{name}"] = lambda s, d, name=name: _figure(s, name)
     for algorithm, chosen in STYLED.items():
         for style in chosen:
             own = "_".join(v for v in (style.granularity, style.drive, style.flow, style.update, style.worklist, style.schedule, style.unit, style.reduction))
@@ -153,15 +212,17 @@ def _checks(*names: str) -> str:
 
 
 def _values() -> str:
-    rows = []
-    for r in sample_rows():
-        name = r[0].strip()
-        rows.append("(" + ", ".join([f"'{name}'", f"{r[1]}::DOUBLE", *[f"'{x}'" for x in r[2:]]]) + ")")
-    return f"WITH t({', '.join(COLUMNS)}) AS (VALUES {', '.join(rows)})"
+    cell = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = ["(" + ", ".join([str(k), f"'{r[0].strip()}'", f"{r[1]}::DOUBLE", *map(cell, r[2:])]) + ")" for k, r in enumerate(sample_rows())]
+    return f"WITH t(pos, {', '.join(COLUMNS)}) AS (VALUES {', '.join(rows)})"
 
 
-_TAGS = (("V", "granularity"), ("E", "granularity"), ("Topo", "drive"), ("Data", "drive"), ("Push", "flow"), ("Pull", "flow"), ("Determ", "determinism"), ("NonDeterm", "determinism"))
-_PER_TAG = " UNION ALL ".join(f"SELECT '{tag}' AS style, throughput AS v, filename FROM t WHERE {axis} = '{tag}'" for tag, axis in _TAGS)
+_TAGS = (
+    ("V", "granularity"), ("E", "granularity"), ("Topo", "drive"), ("Data", "drive"), ("Dup", "worklist"), ("NonDup", "worklist"), ("Push", "flow"), ("Pull", "flow"),
+    ("ReadWrite", "update"), ("ReadModifyWrite", "update"), ("Determ", "determinism"), ("NonDeterm", "determinism"), ("Persist", "persistence"), ("NonPersist", "persistence"),
+    ("Thread", "unit"), ("Warp", "unit"), ("Block", "unit"), ("GlobalAdd", "reduction"), ("BlockAdd", "reduction"), ("Reduction", "reduction"),
+)
+_PER_TAG = " UNION ALL ".join(f"SELECT '{tag}' AS style, throughput AS v, filename, pos, graph, atomics FROM t WHERE {axis} = '{tag}'" for tag, axis in _TAGS)
 
 
 def _styles_sql() -> str:
@@ -172,18 +233,37 @@ SELECT style, n, round(mean, 6) AS mean, median, round(spread, 6) AS spread, rou
 
 
 def _matrix_sql() -> str:
-    return f"""{_values()}, s AS ({_PER_TAG}),
-x AS (SELECT b.style AS base, o.style AS other, b.v, EXISTS (SELECT 1 FROM s z WHERE z.style = o.style AND z.filename = b.filename) AS has FROM s b CROSS JOIN (SELECT DISTINCT style FROM s) o)
+    return f"""{_values()}, s AS ({_PER_TAG}), o AS (SELECT DISTINCT style AS other FROM s),
+x AS (SELECT b.style AS base, o.other, b.v, z.style IS NOT NULL AS has FROM s b JOIN o ON true LEFT JOIN s z ON z.style = o.other AND z.filename = b.filename)
 SELECT base, other, round(avg(v) FILTER (has) / avg(v) FILTER (NOT has), 4) AS mean_ratio, round(median(v) FILTER (has) / median(v) FILTER (NOT has), 4) AS median_ratio
 FROM x GROUP BY base, other HAVING mean_ratio IS NOT NULL"""
 
 
+def _style_correlation_sql() -> str:
+    return f"""{_values()}, s AS (SELECT *, row_number() OVER (PARTITION BY style ORDER BY pos) AS place FROM ({_PER_TAG}) WHERE atomics IS DISTINCT FROM 'CudaAtomic'), o AS (SELECT DISTINCT style AS other FROM s),
+x AS (SELECT b.style AS base, o.other, b.place, b.pos, b.v, z.style IS NOT NULL AS has FROM s b JOIN o ON true LEFT JOIN s z ON z.style = o.other AND z.filename = b.filename),
+h AS (SELECT base, other, v, row_number() OVER (PARTITION BY base, other ORDER BY pos) AS place FROM x WHERE has)
+SELECT l.base, l.other, round(corr(l.v, h.v), 4) AS correlation FROM x l JOIN h ON NOT l.has AND h.base = l.base AND h.other = l.other AND h.place = l.place GROUP BY ALL"""
+
+
 def _pairs_sql(axis: str, over: str, under: str) -> str:
     keys = [c for c in COLUMNS[2:] if c != axis]
-    same = " AND ".join(f"a.{c} = b.{c}" for c in keys)
+    same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in keys)
     return f"{_values()}, r AS (SELECT {', '.join('a.' + c for c in keys)}, a.throughput AS over, b.throughput AS under, a.throughput / CASE WHEN b.throughput = 0 THEN 4e-7 ELSE b.throughput END AS ratio FROM t a JOIN t b ON a.{axis} = '{over}' AND b.{axis} = '{under}' AND {same})"
 
 
+def _figure_sql(name: str) -> str:
+    return f"""{_pairs_sql(*results.FIGURES[name])} SELECT algorithm, count(*) AS n, min(ratio) AS least, max(ratio) AS most, quantile_cont(ratio, 0.25) AS quarter_low, median(ratio) AS median,
+quantile_cont(ratio, 0.75) AS quarter_high, quantile_cont(ratio, 0.125) AS eighth_low, quantile_cont(ratio, 0.875) AS eighth_high, round(avg(ratio), 6) AS mean, round(exp(avg(ln(ratio))), 6) AS geomean FROM r WHERE ratio > 0 GROUP BY algorithm"""
+
+
+def _properties_sql() -> str:
+    names = [c.split()[0] for c in results.PROPERTY_COLUMNS.split(", ")]
+    rows = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in results.GRAPH_PROPERTIES)
+    columns = ", ".join(f"round(corr(v, {c}::DOUBLE), 4) AS {c}" for c in names[1:])
+    return f"{_values()}, g({', '.join(names)}) AS (VALUES {rows}), s AS ({_PER_TAG}) SELECT style, {columns} FROM s JOIN g USING (graph) GROUP BY style"
+
+
 def _correlation_sql() -> str:
     names = [c.split()[0] for c in results.PROPERTY_COLUMNS.split(", ")]
     rows = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in results.GRAPH_PROPERTIES)
@@ -197,8 +277,22 @@ SELECT count(*) AS vertices, sum(degree)::BIGINT AS arcs, avg(degree) AS avg_deg
        count(*) FILTER (degree >= 32) / count(*) AS share_32, count(*) FILTER (degree >= 512) / count(*) AS share_512 FROM d"""
 
 
+_LETTERS = " UNION ALL ".join(f"SELECT algorithm, {k} AS letter, quantile_cont(ratio, {0.5**k}) AS low, quantile_cont(ratio, {1 - 0.5**k}) AS high FROM r GROUP BY algorithm" for k in range(1, 6))
+_DIRECTED = """e AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_quantity >= 40 AND b.l_quantity >= 40 AND a.l_linenumber < b.l_linenumber AND a.l_partkey <> b.l_partkey),
+v AS MATERIALIZED (SELECT unnest(range(0, (SELECT count(*) FROM part))) AS id)"""
+_BOTH = "e AS MATERIALIZED (SELECT src, dst FROM d UNION SELECT dst, src FROM d)"
+
+
+def _report_sql(pr: str) -> str:
+    return f"""SELECT 'bfs' AS algorithm, 0::BIGINT AS source, (SELECT max(dist) FROM ({_BFS} SELECT dist FROM b)) AS rounds, id AS vertex, dist::DOUBLE AS value
+FROM ({_BFS} SELECT id, dist FROM b WHERE dist IS NOT NULL ORDER BY dist DESC, id LIMIT 1)
+UNION ALL SELECT 'pr', NULL, (SELECT k FROM ({pr} SELECT k FROM z)), id, score FROM ({pr} SELECT id, score FROM ranks ORDER BY score DESC, id LIMIT 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     g = f"WITH {_EDGES}"
+    directed = _BFS.replace(_EDGES, _DIRECTED).replace("SELECT 0::BIGINT, 0::BIGINT UNION", "SELECT 1::BIGINT, 0::BIGINT UNION") + " SELECT id, dist FROM b"
+    weak = _DIRECTED.replace("e AS MATERIALIZED", "d AS MATERIALIZED", 1) + ", " + _BOTH
     tri = f"{g}, t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON y.src = x.dst AND x.src < x.dst AND y.src < y.dst JOIN e z ON z.src = x.src AND z.dst = y.dst)"
     two_sided = "WITH p AS (SELECT count(*) AS n FROM part), o AS (SELECT DISTINCT l_partkey AS src, l_suppkey + (SELECT n FROM p) AS dst FROM lineitem), e AS (SELECT * FROM o UNION SELECT dst, src FROM o), v AS (SELECT unnest(range(0, (SELECT n FROM p) + (SELECT count(*) FROM supplier))) AS id)"
     unsigned, signed, pr = _mis_sql("u"), _mis_sql("s"), _pr_sql()
@@ -233,15 +327,34 @@ def oracle_sql() -> dict[str, str]:
         "verify_mis": _checks("undecided", "dependent", "not_maximal", "missing"),
         "verify_pr": "SELECT true AS settled",
         "results_log": "SELECT * FROM (VALUES ('32_2d_alpha_CPP.cpp', 1.5::DOUBLE), ('32_2d_beta_CPP.cpp', NULL), ('32_2d_gamma_CPP.cpp', 2.25)) t(program, throughput)",
-        "results_tags": f"{_values()} SELECT * FROM t",
+        "results_tags": f"{_values()} SELECT * EXCLUDE (pos) FROM t",
         "results_push_pull": f"{_pairs_sql('flow', 'Push', 'Pull')} SELECT algorithm, model, graph, granularity, drive, determinism, schedule, over, under, ratio FROM r",
         "results_quantiles": f"{_pairs_sql('determinism', 'Determ', 'NonDeterm')} SELECT algorithm, count(*) AS n, min(ratio) AS least, max(ratio) AS most, quantile_cont(ratio, 0.25) AS quarter_low, median(ratio) AS median, quantile_cont(ratio, 0.75) AS quarter_high, round(avg(ratio), 6) AS mean, round(exp(avg(ln(ratio))), 6) AS geomean FROM r WHERE ratio > 0 GROUP BY algorithm",
         "results_matrix": _matrix_sql(),
         "results_styles": _styles_sql(),
         "results_correlation": _correlation_sql(),
+        "graph_file": f"{g} SELECT src, dst, {_WEIGHT} AS weight FROM e",
+        "run_report": _report_sql(pr),
+        "directed_violations": f"WITH {_DIRECTED} SELECT * FROM (VALUES ('out_of_range', 0::BIGINT), ('self_loop', 0), ('duplicate', 0)) t(\"check\", violations) UNION ALL SELECT 'one_way', count(*) FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.src = e.dst AND b.dst = e.src)",
+        "directed_bfs": directed,
+        "directed_bfs_push": directed,
+        "directed_bfs_pull": directed,
+        "directed_components": f"{_CC.replace(_EDGES, weak)} SELECT id, label FROM r",
+        "directed_components_pull": f"{_CC.replace(_EDGES, weak)} SELECT id, label FROM r",
+        "directed_triangles": f"{tri.replace(_EDGES, weak)} SELECT count(*) AS triangles FROM t",
+        "results_log_files": "SELECT * FROM (VALUES ('32_2d_alpha_CPP.cpp', 1.5::DOUBLE), ('32_2d_beta_CPP.cpp', NULL), ('32_2d_gamma_CPP.cpp', 2.25)) t(program, throughput)",
+        "results_csv": f"{_values()} SELECT filename, throughput FROM t",
+        "results_named": f"{_values()} SELECT model, count(*) AS runs FROM t WHERE filename NOT LIKE '%CudaAtomic%' GROUP BY model",
+        "results_letters": f"{_pairs_sql(*results.FIGURES['vertex_edge'])} {_LETTERS}",
+        "results_style_correlation": _style_correlation_sql(),
+        "results_style_properties": _properties_sql(),
+        "results_merged": f"{_values()} SELECT filename, throughput, throughput AS \"Push\", throughput AS \"Determ\" FROM t WHERE granularity = 'V' AND flow = 'Push' AND determinism = 'Determ'",
+        "results_pivot": f"SELECT base, " + ", ".join(f"max(median_ratio) FILTER (other = '{x}') AS \"{x}\"" for x in ("V", "E", "Topo", "Data", "Push", "Pull")) + f" FROM ({_matrix_sql().replace('HAVING mean_ratio IS NOT NULL', '')}) GROUP BY base",
+        "results_side_by_side": f"{_values()}, p AS (SELECT row_number() OVER (ORDER BY pos) AS place, throughput AS push FROM t WHERE flow = 'Push'), w AS (SELECT row_number() OVER (ORDER BY pos) AS place, throughput AS warp FROM t WHERE unit = 'Warp') SELECT place, push, warp FROM p FULL JOIN w USING (place)",
     }
+    out |= {f"results_figure_{name}": _figure_sql(name) for name in results.FIGURES}
     same = {"bfs": bfs, "sssp": sssp, "cc": cc, "mis": out["mis_set"], "pr": out["pr_scores"], "tc": out["tc_total"]}
     for name in queries():
-        if "_style_" in name:
+        if "_style_" in name and name not in out:
             out[name] = same[name.split("_")[0]]
     return out

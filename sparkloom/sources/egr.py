@@ -19,9 +19,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from sparkloom.graph import Graph
+from sparkloom.session import discard, materialize
 
 SCHEMA = "src long, dst long, weight long"
 _INT = np.dtype("=i4")
+_LEAST, _MOST = -(1 << 31), (1 << 31) - 1
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -106,38 +108,50 @@ class EgrSource(DataSource):
         return EgrReader(self.options["path"], int(self.options.get("slices", "8")))
 
 
-def read_egr(spark: SparkSession, path: str, slices: int = 8) -> Graph:
-    """A graph file as arcs; the weight column is left out if the file has none."""
+def read_egr(spark: SparkSession, path: str, slices: int = 8, directed: bool = True) -> Graph:
+    """A graph file as arcs; the weight column is left out if the file has none.
+
+    A file does not say whether each arc has its reverse; ``directed=False`` says so.
+    """
     spark.dataSource.register(EgrSource)
     n, _, weights = header(path)
     edges = spark.read.format("egr").option("slices", str(slices)).load(path)
-    return Graph(edges if weights else edges.select("src", "dst"), n)
+    return Graph(edges if weights else edges.select("src", "dst"), n, directed)
+
+
+def _chunks(df, column: str):
+    """The column's 32-bit bytes, in the order of the rows, as rows of about a megabyte that tasks make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False)
+            if len(values) and (values.min() < _LEAST or values.max() > _MOST):
+                raise ValueError(f"a {column} does not fit 32 bits")
+            data = values.astype(_INT).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
+
+    return (r["data"] for r in df.select(F.col(column).cast("long")).mapInArrow(run, "data binary").toLocalIterator())
 
 
 def write_egr(g: Graph, path: str) -> None:
-    """One file, streamed: degrees, then neighbours, then weights, each in order of (src, dst)."""
-    system, name = _open(path)
-    counts = g.degrees().orderBy("id").select("degree")
-    ordered = g.edges.orderBy("src", "dst").persist()
-    weighted = "weight" in g.edges.columns
-
-    def column(rows, out) -> None:
-        block: list[int] = []
-        for r in rows:
-            block.append(r[0])
-            if len(block) == 1 << 16:
-                out.write(np.array(block, _INT).tobytes())
-                block = []
-        out.write(np.array(block, _INT).tobytes())
+    """One file: row offsets, then neighbours, then weights, in order of (src, dst).
 
+    Tasks sort ranges and encode them; the driver streams their blocks into the file, one partition at a time.
+    """
+    system, name = _open(path)
+    ordered = materialize(g.edges, "arcs")
+    m = ordered.count()
+    if max(g.n, m) > _MOST:
+        raise ValueError(f"{g.n} vertices and {m} arcs do not fit 32 bits")
+    columns = ["dst", "weight"] if "weight" in g.edges.columns else ["dst"]
     with system.open_output_stream(name) as out:
-        out.write(np.array([g.n, ordered.count()], _INT).tobytes())
+        out.write(np.array([g.n, m, 0], _INT).tobytes())
         total = 0
-        out.write(np.array([0], _INT).tobytes())
-        for r in counts.toLocalIterator():
-            total += r[0]
-            out.write(np.array([total], _INT).tobytes())
-        column(ordered.select("dst").toLocalIterator(), out)
-        if weighted:
-            column(ordered.select(F.col("weight")).toLocalIterator(), out)
-    ordered.unpersist()
+        for data in _chunks(g.degrees().orderBy("id"), "degree"):
+            offsets = total + np.cumsum(np.frombuffer(data, _INT), dtype=np.int64)
+            total = int(offsets[-1]) if len(offsets) else total
+            out.write(offsets.astype(_INT).tobytes())
+        for column in columns:
+            for data in _chunks(ordered.orderBy("src", "dst"), column):
+                out.write(data)
+    discard(ordered)

@@ -24,9 +24,15 @@ def parse_log(lines: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """Log files of a path; lines of a file keep their order."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
-    return parse_log(lines, prefix)
+    """Log files of a path; lines of a file keep their order, also where it is read in several splits."""
+    lines = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return parse_log(lines.select(F.col("_metadata.file_path").alias("source"), place.alias("pos"), F.col("value").alias("line")), prefix)
+
+
+def write_logs(lines: DataFrame, path: str) -> None:
+    """One text file of the lines (pos, line), in order."""
+    lines.coalesce(1).sortWithinPartitions("pos").select("line").write.text(path)
 
 
 def read_results(spark: SparkSession, path: str, column: str) -> DataFrame:
@@ -35,7 +41,12 @@ def read_results(spark: SparkSession, path: str, column: str) -> DataFrame:
     return raw.select(F.trim(F.regexp_replace("filename", r"[\r\n]+", "")).alias("filename"), F.col(f"`{column}`").try_cast("double").alias("throughput"))
 
 
+def write_results(results: DataFrame, path: str, column: str, mode: str = "error", name: str = "filename") -> None:
+    """Rows to a CSV folder, all values quoted, so that names may hold line ends; ``mode`` append adds to it."""
+    out = results.select(F.col(name).alias("filename"), F.col("throughput").alias(column))
+    out.write.mode(mode).option("header", True).option("quoteAll", True).csv(path)
+
+
 def append_results(results: DataFrame, path: str, column: str) -> None:
-    """Add rows to a CSV folder, all values quoted."""
-    out = results.select(F.col("program").alias("filename"), F.col("throughput").alias(column))
-    out.write.mode("append").option("header", True).option("quoteAll", True).csv(path)
+    """Add rows (program, throughput) to a CSV folder, all values quoted."""
+    write_results(results, path, column, "append", "program")

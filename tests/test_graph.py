@@ -180,6 +180,11 @@ def test_graph_files(spark, tmp_path):
         back = read_egr(spark, path, slices=3)
         assert back.n == 40
         assert sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, graph.edges.collect()))
+    for n, arcs in ((3, []), (1, [])):
+        write_egr(Graph(spark.createDataFrame(arcs, "src long, dst long"), n), str(tmp_path / "bare.egr"))
+        assert read_egr(spark, str(tmp_path / "bare.egr")).edges.count() == 0
+    with pytest.raises(Exception, match="32 bits"):
+        write_egr(Graph(spark.createDataFrame([(0, 1, 1 << 33)], "src long, dst long, weight long"), 2), str(tmp_path / "wide.egr"))
     raw = np.fromfile(path, "=i4")
     raw[:-1].tofile(tmp_path / "short.egr")
     with pytest.raises(ValueError):

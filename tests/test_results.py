@@ -37,6 +37,14 @@ def test_logs_and_csv(spark, tmp_path):
     for _ in range(2):
         append_results(found, str(tmp_path / "out"), "bfs")
     assert read_results(spark, str(tmp_path / "out"), "bfs").count() == 6
+    big = tmp_path / "big.out"
+    big.write_text("".join(f"compile : p{i}.cpp\nThroughput: {i}.5 gigaedges/s\n" for i in range(2_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_logs(spark, str(big)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["program"]: r["throughput"] for r in rows} == {f"p{i}.cpp": i + 0.5 for i in range(2_000)}
     (tmp_path / "b.csv").write_text('"filename","bfs"\n"one.cpp\n","2.5"\n')
     assert [tuple(r) for r in read_results(spark, str(tmp_path / "b.csv"), "bfs").collect()] == [("one.cpp", 2.5)]
 
