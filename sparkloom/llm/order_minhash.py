@@ -10,7 +10,7 @@ Scale: exact copies (equal word sequences) become one node before
 anything else.  Members of a bucket are compared with two leaders, the member in
 the largest buckets and the smallest node, not with one another.  Then only members
 that are not yet in one class meet, all of them: pair by pair in buckets up to ``SMALL``,
-and in larger ones in blocks of about ``BLOCK`` rows, each two blocks in a group of their
+and in larger ones in blocks of a bounded number of rows and k-mers, each two blocks in a group of their
 own, so that a hot bucket is spread over as many tasks as it needs.  Within a group only
 texts of different classes that may reach the similarity are aligned.  Classes are thus
 those of all candidates; what grows with the square of a large bucket in which classes
@@ -53,8 +53,9 @@ SKETCHES = 16
 SAMPLE = 2
 #: Buckets up to this size compare all members that are not in one class yet.
 SMALL = 16
-#: Rows of a block of a larger bucket; each two blocks are compared in a group of their own.
+#: Rows and k-mers of a block of a larger bucket, about; each two blocks are compared in a group of their own.
 BLOCK = 1024
+BLOCK_KMERS = 1 << 19
 #: Candidates share this many sketches.
 SHARED = 2
 
@@ -182,14 +183,14 @@ def _pairs(rows: DataFrame, one: str, two: str, least: float) -> DataFrame:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """(t, key, who, size, rank) for all buckets of two or more; rank orders leaders, best last."""
+    """(t, key, who, size, mass, rank) for all buckets of two or more; rank orders leaders, best last."""
     rows = texts.select(F.struct("id", "n").alias("who"), F.posexplode("sketch").alias("t", "key"))
     # Written, so that the join is between two exchanges and a hot bucket can be split.
-    sizes = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    sizes = materialize(rows.groupBy("t", "key").agg(F.count("*").alias("size"), F.sum("who.n").alias("mass")).where("size > 1"), "sizes")
     rows = materialize(rows.join(sizes, ["t", "key"]), "buckets")
     hubs = rows.groupBy("who").agg(F.sum(F.log2("size")).alias("weight"))
     rank = F.struct(F.round("weight", 6).alias("weight"), (-F.col("who.id")).alias("id"), F.col("who.n").alias("n"))
-    out = materialize(rows.join(hubs, "who").select("t", "key", "who", "size", rank.alias("rank")), "members")
+    out = materialize(rows.join(hubs, "who").select("t", "key", "who", "size", "mass", rank.alias("rank")), "members")
     discard(sizes)
     discard(rows)
     return out
@@ -216,11 +217,11 @@ def _within(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
 def _neighbours(rows: DataFrame, seqs: DataFrame, brief: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b) between classes within large buckets, all that no links of the same task imply.
 
-    A bucket is cut into blocks of about BLOCK rows by a hash of the id, and each two
+    A bucket is cut into blocks of about BLOCK rows and BLOCK_KMERS k-mers by a hash of the id, and each two
     blocks meet in a group of their own.  K-mers travel with the rows, so that only links
     leave a task.  A pair is compared in the first bucket it shares and in no other.
     """
-    slim = rows.select(F.col("who.id").alias("id"), "t", "key", "label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    slim = rows.select(F.col("who.id").alias("id"), "t", "key", "label", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") / BLOCK_KMERS)).cast("int").alias("blocks"))
     ready = materialize(slim.join(brief.select("id", "sketch"), "id").join(seqs, "id"), "ready")
     own = ready.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = own.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

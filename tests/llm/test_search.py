@@ -185,12 +185,13 @@ def test_large_buckets_compare_all_members(spark, monkeypatch):
     marks[1::2, 6] = marks[::2, 6]
     kmers = rng.integers(0, 1 << 32, (n, 50)).astype("<u4")
     kmers[1::2, 1:] = kmers[::2, 1:]
-    who = [((i, 50), 0, 5, n, i) for i in range(n)]
-    rows = spark.createDataFrame(who, "who struct<id:long,n:long>, t int, key long, size long, label long")
+    who = [((i, 50), 0, 5, n, 50 * n, i) for i in range(n)]
+    rows = spark.createDataFrame(who, "who struct<id:long,n:long>, t int, key long, size long, mass long, label long")
     seqs = spark.createDataFrame([(i, bytearray(k.tobytes())) for i, k in enumerate(kmers)], "id long, seq binary")
     brief = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(marks)], "id long, sketch array<long>")
-    for block in (32, 1024):
-        monkeypatch.setattr(near, "BLOCK", block, raising=False)
+    for block, kmers in ((32, 1 << 19), (1024, 1 << 19), (1024, 2_000)):
+        monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "BLOCK_KMERS", kmers)
         found = near._neighbours(rows, seqs, brief, near.LEAST).collect()
         assert sorted(map(tuple, found)) == [(i + 1, i) for i in range(0, n, 2)]
 
