@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import discard, materialize
+from sparkloom.session import discard, materialize, reads
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -53,4 +53,5 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("label"))
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("label"))
-    return ends.unionAll(roots).unionAll(loops.select("id", F.col("id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+    out = ends.unionAll(roots).unionAll(loops.select("id", F.col("id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+    return reads(out, now)

@@ -48,6 +48,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def reads(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, which reads a written table: discarding it deletes that."""
+    df._sparkloom_path = getattr(source, "_sparkloom_path", None)
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote for ``df``."""
     path = getattr(df, "_sparkloom_path", None)
