@@ -7,16 +7,21 @@ never meet in one group, and the number of rounds is logarithmic in practice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkloom.session import discard, materialize, reads
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A fingerprint of an edge set: it stays when nothing changes."""
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return r["n"], r["x"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and a fingerprint that stays when nothing changes, which the write observes."""
+    seen = Observation()
+    values = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+    out = materialize(edges.observe(seen, *values), "stars")
+    found = seen.get
+    if "n" not in found:  # nothing was written, or the metric got lost
+        found = out.agg(*values).first().asDict()
+    return out, (found["n"], found["x"])
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -39,11 +44,9 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst", max_r
     """
     now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     loops = now.where("a = b").select(F.col("a").alias("id"))
-    now = materialize(now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    mark = _mark(now)
-    for _ in range(max_rounds):
-        new = materialize(small_star(large_star(now)), "stars")
-        fresh = _mark(new)
+    now, mark = _written(now.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for _ in range(max_rounds if mark[0] else 1):
+        new, fresh = _written(small_star(large_star(now)))
         discard(now)
         now = new
         if fresh == mark:
