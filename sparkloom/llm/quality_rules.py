@@ -4,7 +4,7 @@ Every measure is a built-in expression over one row, so the operator is a
 narrow projection: no shuffle, no user function, any row order.
 
 Defined results: a null text counts as an empty one (no words: it fails
-``min_words``); texts of any length are measured whole; repeated rows are judged
+``base_failed``); an empty table gives an empty result; texts of any length are measured whole; repeated rows are judged
 one by one and alike; other columns are ignored or, in :func:`quality_filter`,
 passed through.
 """
