@@ -47,7 +47,7 @@ LITERAL = 0x110000
 FALLBACK = -2
 #: Segmentations asked for; distinct words kept by a worker; characters of words in a lattice; texts' characters at once.
 BEST = 4
-CACHE = 200_000
+CACHE = 500_000
 LATTICE = 200_000
 #: Shift of Zipf's law over the pieces of a merge model, and what the library takes off the least score for an unknown character.
 SHIFT = 300
@@ -292,6 +292,18 @@ class Codec:
         self.lists: dict[str, list[tuple[float, list[int]]]] = {}
         self.score, self.loss, self.begin = np.zeros(0), np.zeros(0), np.zeros(1, np.int64)
         self.flat = np.zeros(0, "<u4")
+        self.last, self.turn = np.zeros(0, np.int64), 0
+
+    def _halve(self) -> None:
+        """Keep the half of the words that were met last."""
+        n, words = len(self.index), list(self.index)
+        keep = np.sort(np.argsort(-self.last[:n], kind="stable")[: n // 2])
+        sizes = self.begin[keep + 1] - self.begin[keep]
+        self.flat = gather(self.flat, self.begin, keep)
+        self.begin = np.append(0, np.cumsum(sizes))
+        self.score, self.loss, self.last = self.score[keep], self.loss[keep], self.last[keep]
+        self.index = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.lists = {u: x for u, x in self.lists.items() if u in self.index}
 
     def _add(self, name: str, at: int, values: np.ndarray) -> None:
         """Put values at a place of an array, which doubles when it is full."""
@@ -305,10 +317,10 @@ class Codec:
 
     def learn(self, texts_units: Sequence[list[str]]) -> None:
         """Make all words of the texts known."""
+        self.turn += 1
+        if len(self.index) > CACHE:
+            self._halve()
         fresh = list(dict.fromkeys(u for units in texts_units for u in units if u not in self.index))
-        if len(self.index) + len(fresh) > CACHE:
-            self._clear()
-            fresh = list(dict.fromkeys(u for units in texts_units for u in units))
         some, chars = [], 0
         for u in [*fresh, None]:
             if some and (u is None or chars + len(u) > LATTICE):
@@ -316,6 +328,7 @@ class Codec:
                 n, end = len(self.index), int(self.begin[len(self.index)])
                 self.index |= zip(some, range(n, n + len(some)), strict=True)
                 self._add("score", n, np.array(score))
+                self._add("last", n, np.zeros(len(some), np.int64))
                 self._add("loss", n, np.array(loss))
                 self._add("begin", n + 1, end + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
                 self._add("flat", end, np.frombuffer(b"".join(ids), "<u4"))
@@ -325,8 +338,10 @@ class Codec:
                 chars += len(u)
 
     def places(self, units: list[str]) -> np.ndarray:
-        """Numbers of known words."""
-        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        """Numbers of known words, which are thereby met."""
+        out = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        self.last[out] = self.turn
+        return out
 
     def best_ids(self, places: np.ndarray) -> np.ndarray:
         return gather(self.flat, self.begin, places)
