@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm._memory import release
+
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens gathered before a block is packed, tokens of a step group, shortest unpadded tail.
 BLOCK = 1 << 21
@@ -267,6 +269,8 @@ def pack_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             gathered += add(names, texts)
         packer.flush(True)
         yield packer.batch(schema)
+        del packer
+        release()
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, SCHEMA)
