@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,9 @@ TIERS = (512, 1024, 2048, 4096)
 BLOCK = 1 << 21
 STEP = 8 * 4096
 LEAST_TAIL = 64
-#: Encoded words kept by a Python worker, characters encoded at once.
-CACHE = 1_000_000
+#: Encoded words that a Python worker holds, about, and those it keeps when it has so many or a task ends; characters encoded at once.
+CACHE = 600_000
+KEPT = 50_000
 CHARS = 1 << 20
 END = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long, ids array<int>"
@@ -50,6 +52,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words in turn; each word is encoded once while it is kept.
+    The words met first are kept: common words are among them, and most others never come again.
     """
 
     #: White space to Python but not to the tokenizer: such texts are encoded whole.
@@ -104,11 +107,15 @@ class WordEncoder:
         split = [None if self.ODD.search(t) else t.split() for t in texts]
         fresh = list(dict.fromkeys(w for words in split if words for w in words if w not in self.known))
         if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            fresh = list(dict.fromkeys(w for words in split if words for w in words))
+            self.forget()
+            fresh = list(dict.fromkeys(w for words in split if words for w in words if w not in self.known))
         self._learn(fresh)
         return [b"".join(map(self.known.__getitem__, words)) if words is not None else self._ids(t).tobytes() for t, words in zip(texts, split, strict=True)]
 
+    def forget(self) -> None:
+        """Keep the words met first only: a worker outlives its task, and what it holds counts in every stage after."""
+        self.known = dict(islice(self.known.items(), KEPT))
+
 
 @cache
 def encoder(path: str | None) -> WordEncoder:
@@ -270,6 +277,7 @@ def pack_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         packer.flush(True)
         yield packer.batch(schema)
         del packer
+        words.forget()
         release()
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

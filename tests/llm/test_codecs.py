@@ -1,9 +1,11 @@
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -178,6 +180,31 @@ def test_packing_gives_token_ids(spark):
     assert found == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts, 1)}
 
 
+def test_a_worker_keeps_the_words_met_first(monkeypatch):
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    words = packing.WordEncoder(None)
+    monkeypatch.setattr(packing, "CACHE", 60)
+    monkeypatch.setattr(packing, "KEPT", 20)
+    rng = random.Random(5)
+    for i in range(30):
+        texts = [" ".join([*["the", "stone,"][: 2 if i == 0 else 0], *(f"{rng.choice(['w', 'Größe', 'x0'])}{chr(97 + i % 26)}{rng.randrange(99)}!" for _ in range(25))]) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert "the" in words.known and len(words.known) <= 60 + 3 * 27 * 2
+    words.forget()
+    assert len(words.known) <= 20 and "the" in words.known
+
+
+def test_a_task_of_packing_keeps_few_words(spark, monkeypatch):
+    """The task's function, called in this process, and what the process holds after it."""
+    text = " ".join(f"k{i}" for i in range(70_000))
+    df = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    run = packing.pack_documents(df)
+    pieces = [n for b in run(iter([pa.RecordBatch.from_pydict({"doc_id": [0], "text": [text]})])) for n in b.column("length").to_pylist()]
+    assert sum(pieces) > 70_000 and 0 < len(packing.encoder(None).known) <= packing.KEPT
+
+
 def test_tiers_fill(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["stone", "river", "x1", "don't", "Größe.", "0"]) for _ in range(rng.choice([3, 200, 900, 2500, 6000]))) for _ in range(60)]
